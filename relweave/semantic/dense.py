@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ class Dense(SemanticBackend):
         texts = [F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("text")) for f in fields]
         joined = F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
         rows = df.select(F.col(id_col).alias("id"), F.inline(F.array(*texts, F.struct(F.lit(ALL).alias("field"), joined.alias("text")))))
-        vectors = rows.select("field", "id", unit(embed(model)(F.col("text"))).alias("vector"))
+        vectors = rows.select("field", "id", embed(model)(F.col("text")).alias("vector"))
         return cls(entity, list(fields), vectors, model)
 
     def search(self, entity: str, fields: list[str] | str, query: str, top_k: int = 100) -> DataFrame:
@@ -72,10 +73,14 @@ class Dense(SemanticBackend):
 
 
 def embed(model: EmbeddingModel) -> Callable[[Column], Column]:
+    """Vectors of a text column, of length 1 unless they are zero."""
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[float(x) for x in v] for v in model.embed_documents(list(texts))], dtype=object)
+            v = np.array(model.embed_documents(list(texts)), dtype=float).reshape(len(texts), -1)
+            size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            yield pd.Series(list(np.divide(v, size, out=v, where=size > 0)), dtype=object)
 
     return apply
 
