@@ -240,17 +240,20 @@ def test_tfidf_cyrillic_and_nulls(spark):
     assert ix.search("s", [], "платежи и биллинг", 1).first()["id"] == 2
 
 
-class Model:
-    def embed_documents(self, texts):
-        return [self.embed_query(t) for t in texts]
+def model():
+    class Model:  # local, so that workers needn't import the tests
+        def embed_documents(self, texts):
+            return [self.embed_query(t) for t in texts]
 
-    def embed_query(self, text):
-        return [1.0, 0.0] if "alpha" in text.lower() else [0.0, 1.0] if "beta" in text.lower() else [0.0, 0.0]
+        def embed_query(self, text):
+            return [1.0, 0.0] if "alpha" in text.lower() else [0.0, 1.0] if "beta" in text.lower() else [0.0, 0.0]
+
+    return Model()
 
 
 def test_dense(spark):
     df = spark.createDataFrame([(1, "Alpha", "First alpha"), (2, "Beta", "Second beta"), (3, None, None)], "id long, name string, description string")
-    ix = Dense.build(df, "demo", "id", ["name", "description"], Model())
+    ix = Dense.build(df, "demo", "id", ["name", "description"], model())
     assert [(r["id"], r["score"]) for r in ix.search("demo", ["name", "description"], "alpha").collect()] == [(1, 2.0), (2, 0.0), (3, 0.0)]
     with pytest.raises(RuntimeError):
         Dense("demo", ["name"], ix.vectors).search("demo", [], "alpha")
