@@ -147,7 +147,7 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
     report repeatedly; test items that overlap each other are all reported; an empty side gives no rows; other columns are not looked
     at. Test passages of more than ``BLOCK_BYTES`` are searched in blocks of that size, each against the whole corpus.
     """
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc is not null and text is not null")
+    texts = docs.select(F.col(id_col).alias("doc"), F.make_valid_utf8(F.col(text_col)).alias("text")).filter("doc is not null and text is not null")
     items = tests.select(F.col(item_col).alias("item"), F.col(passage_col).alias("passage")).filter("item is not null and passage is not null")
     size = items.select(F.sum(F.octet_length("passage"))).first()[0] or 0
     blocks = max(1, -(-int(size) // BLOCK_BYTES))

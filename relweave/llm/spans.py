@@ -142,7 +142,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     g = g or max(1, k // 2)
     if not 1 <= g <= k:
         raise ValueError("g must be between 1 and k")
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= k))
+    texts = docs.select(F.col(id_col).alias("doc"), F.make_valid_utf8(F.col(text_col)).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= k))
     kind = texts.schema["doc"].dataType
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "hi", "lo")] + [T.StructField("doc", kind), T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
     runs = materialize(texts.mapInArrow(_cutter(k, g), schema), "runs")

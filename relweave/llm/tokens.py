@@ -48,7 +48,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     merges = merges or load_merges()
     merges.lookahead()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.make_valid_utf8(F.col(text_col)).alias("text"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     shared = docs.sparkSession.sparkContext.broadcast(merges)
     return rows.mapInArrow(_ids(shared), schema).select(F.col("id").alias(id_col), "ids")
