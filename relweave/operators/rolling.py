@@ -8,6 +8,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relweave.plans.materialize import materialize
+
 #: Dense rows that one task sorts.
 ROWS_A_TASK = 1_500_000
 
@@ -29,8 +31,8 @@ def rolling_totals(df: DataFrame, entity: str, day: str, amount: str, start: dt.
         raise ValueError("the calendar is empty")
     rows = df.select(F.col(entity).alias("__e"), F.datediff(F.col(day), F.lit(start)).alias("__d"), F.coalesce(F.col(amount), F.lit(0)).cast("long").alias("__a"))
     rows = rows.filter(F.col("__e").isNotNull() & F.col("__d").between(0, days - 1))
-    daily = rows.groupBy("__e", "__d").agg(F.sum("__a").alias("__a"))
-    entities = df.select(F.approx_count_distinct(entity)).first()[0]
+    daily = materialize(rows.groupBy("__e", "__d").agg(F.sum("__a").alias("__a")), "daily")
+    entities = daily.select(F.approx_count_distinct("__e")).first()[0]
     width = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(entities * days / ROWS_A_TASK))
     # an entity has at most one row for each calendar day, so its map is bounded by the calendar
     sparse = daily.repartition(width, "__e").groupBy("__e").agg(F.map_from_entries(F.collect_list(F.struct("__d", "__a"))).alias("__m"))

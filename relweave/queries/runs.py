@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from relweave.functions.json_repair import repaired
 from relweave.functions.text import answer_check, norm, similarity_from_distance, token_estimate, tokens
+from relweave.plans.partitioning import spread
 from relweave.runs import compare, history, summary
 from relweave.runs.results import bad_statuses
 from relweave.sources.generate import check_commerce, commerce, order_stats
@@ -132,7 +133,7 @@ def json_clean(spark: SparkSession, sf: str) -> DataFrame:
         .when(n == 3, F.regexp_replace("props", r'"(\w+)"\s*:', "$1:"))
         .otherwise(F.regexp_replace("props", r"\}$", ""))
     )
-    both = e.select(n.alias("damage"), repaired(damaged).alias("a"), repaired("props").alias("b"))
+    both = spread(e.select(n.alias("damage"), damaged.alias("d"), "props")).select("damage", repaired("d").alias("a"), repaired("props").alias("b"))
     return both.groupBy("damage").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
 
 

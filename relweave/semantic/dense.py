@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -27,16 +29,33 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def unit(v: Column) -> Column:
-    """A vector of length 1; a zero vector stays as it is."""
-    size = F.sqrt(dot(v, v))
-    return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(F.transform(v, lambda x: x.cast("double")))
+#: Longest query vector that is written out term by term, which runs inside generated code.
+UNROLLED = 256
+
+
+def dot_with(v: Column, query: Sequence[float]) -> Column:
+    """The product with a known vector; null for a null vector or one of another length."""
+    if len(query) > UNROLLED:
+        product = dot(v, F.lit(list(map(float, query))))
+    else:
+        product = reduce(lambda a, b: a + b, [F.get(v, F.lit(i)).cast("double") * float(x) for i, x in enumerate(query)], F.lit(0.0))
+    return F.when(F.size(v) == len(query), product)
+
+
+def unit_of(query: Sequence[float]) -> list[float]:
+    size = math.sqrt(sum(float(x) * float(x) for x in query))
+    return [float(x) / size if size else 0.0 for x in query]
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """``id, score`` of the best rows; every row is scored, and each task passes on k rows at most."""
-    q = unit(F.lit([float(x) for x in query]))
-    scored = vectors.select(F.col(id_col).alias("id"), dot(unit(F.col(vector_col)), q).alias("score")).filter("score is not null")
+    """``id, score`` (cosine) of the best rows; every row is scored, and each task passes on k rows at most.
+
+    A zero vector scores 0; null vectors, and vectors of another length, take no part.
+    """
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    scored = own.select("id", dot_with(F.col("v"), unit_of(query)).alias("d"), size.alias("n")).filter("d is not null")
+    scored = scored.select("id", F.when(F.col("n") > 0, F.col("d") / F.col("n")).otherwise(0.0).alias("score"))
     return scored.orderBy(F.desc(F.round("score", 12)), "id").limit(k)
 
 
@@ -67,8 +86,7 @@ class Dense(SemanticBackend):
         wanted = [fields] if isinstance(fields, str) else list(fields or [])
         if unknown := [f for f in wanted if f not in self.fields]:
             raise ValueError(f"Fields {unknown} are not indexed for '{entity}'")
-        q = unit(F.lit([float(x) for x in query]))
-        own = self.vectors.filter(F.col("field").isin(wanted or [ALL])).select("id", dot(F.col("vector"), q).alias("s"))
+        own = self.vectors.filter(F.col("field").isin(wanted or [ALL])).select("id", dot_with(F.col("vector"), unit_of(query)).alias("s"))
         return own.groupBy("id").agg(F.sum("s").alias("score")).orderBy(F.desc(F.round("score", 12)), "id").limit(top_k)
 
 
