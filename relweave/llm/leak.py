@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from relweave.plans.partitioning import spread
+
 #: Words of a shard, bytes of test passages sent at a time, and matches expanded at a time.
 SHARD, BLOCK_BYTES, STEP = 2_000_000, 32_000_000, 1_000_000
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -160,7 +162,7 @@ def find_leaks(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_c
         index = TestIndex([(r["item"], r["passage"]) for r in own.collect()], min_words)
         if not index.items:
             continue
-        part = texts.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(index), schema.names), schema)
+        part = spread(texts).mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(index), schema.names), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 

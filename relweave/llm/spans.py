@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relweave.plans.materialize import materialize
+from relweave.plans.partitioning import spread
 
 #: Code points that are hashed at a time; longer texts go in pieces that overlap by k - 1.
 CHUNK = 1_000_000
@@ -145,7 +146,7 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("doc"), F.make_valid_utf8(F.col(text_col)).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= k))
     kind = texts.schema["doc"].dataType
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("anchor", "hi", "lo")] + [T.StructField("doc", kind), T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
-    runs = materialize(texts.mapInArrow(_cutter(k, g), schema), "runs")
+    runs = materialize(spread(texts).mapInArrow(_cutter(k, g), schema), "runs")
 
     ends = [F.min("doc").alias("a"), F.max("doc").alias("b")]
     shared_anchor = runs.groupBy("anchor").agg(*ends).filter("a < b").select("anchor")

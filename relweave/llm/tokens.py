@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relweave.llm.bpe import Decoder, Encoder, MergeList, read_ranks
+from relweave.plans.partitioning import spread
 
 #: Where vocabulary files are looked for unless a path is given.
 FOLDER = "/opt/tokenizers"
@@ -51,7 +52,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.make_valid_utf8(F.col(text_col)).alias("text"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     shared = docs.sparkSession.sparkContext.broadcast(merges)
-    return rows.mapInArrow(_ids(shared), schema).select(F.col("id").alias(id_col), "ids")
+    return spread(rows).mapInArrow(_ids(shared), schema).select(F.col("id").alias(id_col), "ids")
 
 
 def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", merges: MergeList | None = None) -> DataFrame:
