@@ -7,7 +7,7 @@ Catalyst pushes the filters below the joins and prunes columns where that is leg
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -54,12 +54,14 @@ AGGREGATES = {
 @dataclass(frozen=True)
 class Options:
     """What a selector can't say. ``tolerance``: of the soft ``=``; ``null_equal``: null join keys match each other; ``check_cardinality``:
-    fail where a relation declared to-one has several matches; ``order_by_key``: sort by the root's key when paging."""
+    fail where a relation declared to-one has several matches; ``order_by_key``: sort by the root's key when paging;
+    ``offset_on_root``: filter, order and skip rows of the root before the joins, so that the offset counts root rows."""
 
     tolerance: str = "none"
     null_equal: bool = False
     check_cardinality: bool = False
     order_by_key: bool = True
+    offset_on_root: bool = False
 
     def __post_init__(self) -> None:
         if self.tolerance not in predicates.TOLERANCES:
@@ -98,6 +100,10 @@ def compile_request(catalog: Catalog, selector: Mapping[str, Any], options: Opti
 def join_chain(catalog: Catalog, q: Query, options: Options) -> tuple[DataFrame, Scope]:
     df, root = enter(catalog.table(q.root_entity), 0, q.root_entity, None, catalog.columns(q.root_entity))
     scope = Scope(root)
+    if options.offset_on_root:
+        df = _with_near(df, q, scope, options)
+        key = quoted(root.internal(catalog.primary_key(q.root_entity)))
+        df = df.orderBy(F.asc_nulls_last(key)).offset(q.offset)
     for name in q.relations:
         r = catalog.relation(name)
         if scope.has(r.from_entity):
@@ -145,7 +151,10 @@ def compile_query(catalog: Catalog, q: Query, options: Options) -> Compiled:
     if not isinstance(q.offset, int) or q.offset < 0 or (q.limit is not None and q.limit < 0):
         raise ValueError("limit and offset can't be negative")
     df, scope = join_chain(catalog, q, options)
-    df = _with_near(df, q, scope, options)
+    if options.offset_on_root:
+        q = replace(q, offset=0)
+    else:
+        df = _with_near(df, q, scope, options)
     if q.semantic_clauses:
         df = apply_clauses(catalog, df, q.semantic_clauses, lambda entity: _key_column(catalog, scope, entity), SCORE)
     meta: dict[str, Any] = {"relations_used": list(q.relations)}

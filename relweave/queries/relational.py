@@ -12,8 +12,9 @@ from relweave.plans.compiler import Options, compile_request, execute
 from relweave.plans.scope import quoted
 from relweave.plans.shape import nested
 from relweave.queries.schemas import CORPUS, SHOP, SUPPLY, catalog, federated
+from relweave.semantic.base import SemanticBackend
+from relweave.semantic.build import build_semantic
 from relweave.semantic.dense import top_k as dense_top_k
-from relweave.semantic.tfidf import TfIdf
 from relweave.sources.catalog import Catalog, Schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,6 +211,12 @@ over_sources(
     aggregations=[{"field": "customers.customer_id", "agg": "count", "alias": "n"}, {"field": "order_id", "agg": "sum", "alias": "s"}],
 )
 
+add(
+    "federated_offset_root",
+    'select o.order_id, c.city as "customers__city" from (select * from shop_orders where order_id > 2000 order by order_id offset 3000) o left join customers c on o.customer_id = c.customer_id',
+    lambda spark, sf: execute(federated(spark, sf), {"op": "query", "limit": None, "offset": 3000, "relations": ["shop_orders_left"], "filters": where("order_id", ">", 2000), **_PAIR}, Options(offset_on_root=True)),
+)
+
 # --- paging -----------------------------------------------------------------------------------------------------
 
 selector("offset_limit", "select c_custkey, c_name from customer order by c_custkey limit 20 offset 40", root_entity="customer", select=_CUST, limit=20, offset=40)
@@ -276,9 +283,8 @@ def _scores(fields: str, k: int) -> str:
     return f"select id, sum(qw * w) score from w join q using (t) where field in ({fields}) group by 1 having sum(qw * w) > 0 order by round(sum(qw * w), 12) desc, id limit {k}"
 
 
-def _index(spark: SparkSession, sf: str, table: str, which: dict = SUPPLY) -> TfIdf:
-    c = catalog(spark, sf, which)
-    return TfIdf.build(c.table(table), table, c.primary_key(table), list(c.entity(table).semantic_text_fields))
+def _index(spark: SparkSession, sf: str, table: str, which: dict = SUPPLY) -> SemanticBackend:
+    return build_semantic(catalog(spark, sf, which), only=[table])
 
 
 def _with_semantic(spark: SparkSession, sf: str) -> Catalog:
@@ -366,7 +372,7 @@ add(
 
 
 def _values(rows: list[tuple], columns: str) -> str:
-    cell = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'"
+    cell = lambda v: "cast(null as varchar)" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'"
     return f"select * from (values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
 
 

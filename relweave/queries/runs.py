@@ -167,7 +167,7 @@ QUERIES = {
     "runs_only_missed": missed,
     "runs_only_failed": lambda s, d: history.only_failed(*_two(s, d)),
     "runs_only_failed_antiflake": only_failed_flaky,
-    "runs_newest_per_run": lambda s, d: history.newest_per_run(_entries(s, d)).select("case_id", "run_id", "status", "recency"),
+    "runs_newest_per_run": lambda s, d: history.newest_per_run(_entries(s, d)).select("case_id", "run_id", "status", F.col("recency").cast("long").alias("recency")),
     "runs_antiflake": healed,
     "runs_selection": selection,
     "text_norm": text_norm,
@@ -233,5 +233,5 @@ SQL = {
     "answer_check": "select doc_id, case when text is null then case doc_id % 4 when 1 then 'none' when 2 then 'none' end else case doc_id % 4 when 0 then 'exact' when 1 then 'regex' when 2 then 'contains' end end as mode, case when text is null then case when doc_id % 4 in (1, 2) then false end else case doc_id % 4 when 0 then true when 1 then regexp_matches(text, '[0-9]{4}') when 2 then contains(text, 'every') end end as passed from documents",
     "dataset_stats": 'select status as value, count(*) as n_rows, min(order_date) as "first", max(order_date) as "last" from shop_orders group by 1',
     "json_extract_props": "select event_id % 5 as damage, count(*) as n, count(*) as same from events where props is not null group by 1",
-    "generated_commerce": "select 1000 as n_orders, 1000 as n_right",
+    "generated_commerce": "select cast(1000 as bigint) as n_orders, cast(1000 as bigint) as n_right",
 }

@@ -461,3 +461,21 @@ def test_generator(spark, tmp_path):
     assert (row["files_count"], row["bytes_total"]) == (1, 3)
     (tmp_path / "a" / "z").write_text("4")
     assert fingerprint(tmp_path)["hash"] != before["hash"] and fingerprint_distributed(spark, str(tmp_path)).first()["hash"] != row["hash"]
+
+
+def test_indexes_of_a_catalog(spark, tmp_path):
+    from relweave.semantic.build import build_semantic
+
+    schema = Schema.parse({"entities": [{"name": "product", "columns": [{"name": "id"}, {"name": "name"}, {"name": "description"}], "semantic_text_fields": ["name", "description"]}, {"name": "other", "columns": [{"name": "id"}]}]})
+    c = Catalog.from_frames(spark, schema, {"product": spark.createDataFrame(PRODUCTS, "id long, name string, description string"), "other": spark.range(1)})
+    with pytest.warns(UserWarning, match="primary key"):
+        first = build_semantic(c, str(tmp_path))
+    assert list(first.backends) == ["product"] and first.search("product", [], "bamboo").first()["id"] == 3
+    changed = Catalog.from_frames(spark, schema, {"product": c.table("product").limit(0)})
+    with pytest.warns(UserWarning):
+        again = build_semantic(changed, str(tmp_path))
+    assert again.search("product", [], "bamboo").first()["id"] == 3  # the index that is there is used
+    with pytest.warns(UserWarning):
+        assert build_semantic(changed, str(tmp_path / "new")).search("product", [], "bamboo").count() == 0
+    with pytest.raises(KeyError):
+        first.search("other", [], "x")

@@ -263,3 +263,10 @@ def test_plans_push_down_and_prune(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(k,3)" in plan and "wide" not in plan and "unused" not in plan
     assert [tuple(r) for r in df.collect()] == [("3", 14)]
+
+
+def test_offset_on_root_rows(blocks):
+    run = lambda **o: sorted((r["name"] or "-") + (r["system__code"] or "-") for r in execute(blocks, q("block", relations=["bs_left"], offset=1), Options(**o)).collect())
+    assert run(offset_on_root=True) == ["BS3", "C-"] and len(run()) == 3
+    with pytest.raises(ValueError, match="Unknown entity"):
+        execute(blocks, q("block", relations=["bs_left"], filters=where("code", "=", "S1", "system")), Options(offset_on_root=True))
