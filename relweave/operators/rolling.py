@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from relweave.plans.materialize import materialize
 
-#: Dense rows that one task sorts.
-ROWS_A_TASK = 1_500_000
+#: Dense rows that one task sorts, and most tasks (beyond, a task sorts more and spills).
+ROWS_A_TASK, MOST_TASKS = 1_500_000, 50_000
 
 
 def rolling_totals(df: DataFrame, entity: str, day: str, amount: str, start: dt.date, end: dt.date, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
@@ -33,7 +33,7 @@ def rolling_totals(df: DataFrame, entity: str, day: str, amount: str, start: dt.
     rows = rows.filter(F.col("__e").isNotNull() & F.col("__d").between(0, days - 1))
     daily = materialize(rows.groupBy("__e", "__d").agg(F.sum("__a").alias("__a")), "daily")
     entities = daily.select(F.approx_count_distinct("__e")).first()[0]
-    width = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(entities * days / ROWS_A_TASK))
+    width = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, math.ceil(entities * days / ROWS_A_TASK)))
     # an entity has at most one row for each calendar day, so its map is bounded by the calendar
     sparse = daily.repartition(width, "__e").groupBy("__e").agg(F.map_from_entries(F.collect_list(F.struct("__d", "__a"))).alias("__m"))
     dense = sparse.select("__e", "__m", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("__d")).select("__e", "__d", F.coalesce(F.try_element_at("__m", F.col("__d")), F.lit(0)).alias("__a"))

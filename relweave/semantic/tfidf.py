@@ -7,6 +7,8 @@ shared by the fields; ``idf = ln((1 + N) / (1 + df)) + 1``; weights are L2-norma
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +28,11 @@ def _fold(token: Column, synonyms: Mapping[str, str]) -> Column:
     return token
 
 
+def query_tokens(query: str) -> list[str]:
+    """What `tokens` gives, on the driver."""
+    return "".join(c if c == "_" or unicodedata.category(c)[0] in "LN" else " " for c in query.lower()).split()
+
+
 class TfIdf(SemanticBackend):
     def __init__(self, entity: str, fields: list[str], postings: DataFrame, idf: DataFrame, synonyms: Mapping[str, str]) -> None:
         self.entity, self.fields, self.postings, self.idf, self.synonyms = entity, fields, postings, idf, synonyms
@@ -58,12 +65,15 @@ class TfIdf(SemanticBackend):
     def read(cls, spark: SparkSession, path: str, entity: str, fields: list[str], synonyms: Mapping[str, str] = SYNONYMS) -> TfIdf:
         return cls(entity, fields, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/idf"), synonyms)
 
-    def query_weights(self, query: str) -> DataFrame:
-        """``token, q`` of the query's known tokens, L2-normalised."""
-        spark = self.idf.sparkSession
-        words = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("t")).select(_fold(F.col("t"), self.synonyms).alias("token")).groupBy("token").count()
-        w = self.idf.join(F.broadcast(words), "token").select("token", (F.col("count") * F.col("idf")).alias("x"))
-        return w.select("token", (F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(F.lit(1))))).alias("q"))
+    def query_weights(self, query: str) -> tuple[list[str], DataFrame]:
+        """The query's tokens, and ``token, q`` of those that are known, L2-normalised."""
+        words = Counter(self.synonyms.get(t, t) for t in query_tokens(query))
+        if not words:
+            return [], self.idf.select("token", F.lit(0.0).alias("q")).limit(0)
+        times = F.element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.col("token"))
+        w = self.idf.filter(F.col("token").isin(list(words))).select("token", (times * F.col("idf")).alias("x"))
+        size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(F.lit(1))))  # a row for each word asked for
+        return list(words), w.select("token", (F.col("x") / size).alias("q"))
 
     def search(self, entity: str, fields: list[str] | str, query: str, top_k: int = 100) -> DataFrame:
         """``id, score``: scores summed over the fields asked for (all together by default); only positive scores."""
@@ -72,8 +82,10 @@ class TfIdf(SemanticBackend):
         wanted = [fields] if isinstance(fields, str) else list(fields or [])
         if unknown := [f for f in wanted if f not in self.fields]:
             raise ValueError(f"Fields {unknown} are not indexed for '{entity}'")
-        # the query side has one row for each word asked for
-        hits = self.postings.filter(F.col("field").isin(wanted or [ALL])).join(F.broadcast(self.query_weights(query)), "token")
+        # the words are literals, so that the scan of a written index skips all other row groups
+        words, weights = self.query_weights(query)
+        own = self.postings.filter(F.col("field").isin(wanted or [ALL]) & F.col("token").isin(words))
+        hits = own.join(F.broadcast(weights), "token")
         scores = hits.groupBy("id").agg(F.sum(F.col("q") * F.col("weight")).alias("score")).filter("score > 0")
         return scores.orderBy(F.desc(F.round("score", 12)), "id").limit(top_k)
 
