@@ -30,12 +30,12 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, shares: tuple
     cuts = sorted(set(found or ()), reverse=True)
     taken: list[DataFrame] = []
     order = Window.partitionBy("g").orderBy(F.desc("s"), F.asc_nulls_last("t"))
+    number = F.lit(len(cuts))
+    for i, cut in reversed(list(enumerate(cuts))):
+        number = F.when(F.col("s") >= cut, i).otherwise(number)
+    banded = materialize(rows.withColumn("band", number), "bands", by="band")
     for i in range(len(cuts) + 1):
-        band = rows
-        if i < len(cuts):
-            band = band.filter(F.col("s") >= cuts[i])
-        if i:
-            band = band.filter(F.col("s") < cuts[i - 1])
+        band = banded.filter(F.col("band") == i).drop("band")  # reads this band's files only
         if taken:
             have = reduce(DataFrame.unionByName, taken).groupBy("g").agg(F.count(F.lit(1)).alias("have"))
             band = band.join(have.filter(F.col("have") >= n).select("g"), "g", "left_anti")
