@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from relweave.plans.materialize import materialize
 from relweave.plans.partitioning import spread
 
-#: Code points that are hashed at a time; longer texts go in pieces that overlap by k - 1.
-CHUNK = 1_000_000
+#: Code points that are hashed at a time (longer texts go in pieces that overlap by k - 1), and of a block that runs are cut from.
+CHUNK, BLOCK = 1_000_000, 65_536
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -155,11 +155,16 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = edges.filter("a < b").select("anchor", "hi", "lo", F.lit(0).alias("i"), (F.col("n") - 1).alias("j"))
 
     forks = edges.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("anchor")
+    # a long text goes in blocks, since finding a position takes time in proportion to it; a run spans less than 2 k
+    last = F.floor((F.length("text") - 1) / BLOCK).cast("int")
+    blocks = texts.select("doc", "text", F.explode(F.sequence(F.lit(0), last)).alias("block")).select("doc", "block", F.expr(f"substring(text, block * {BLOCK} + 1, {BLOCK + 2 * k})").alias("part"))
+    at = F.floor(F.col("first") / BLOCK).cast("int")
     # every run has a bounded length (at most k - g + 1 windows), so a fork's runs split into a bounded number of windows
     split = (
         edges.join(forks, "anchor", "left_semi")
-        .join(texts, "doc")
-        .select("anchor", "hi", "lo", "a", "b", "n", F.expr(f"substring(text, first + 1, n + {k - 1})").alias("cut"))
+        .withColumn("block", at)
+        .join(blocks, ["doc", "block"])
+        .select("anchor", "hi", "lo", "a", "b", "n", F.expr(f"substring(part, first - block * {BLOCK} + 1, n + {k - 1})").alias("cut"))
         .filter(F.xxhash64("cut") == F.col("lo"))
         .select("anchor", "hi", "lo", "a", "b", "cut", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
         .withColumn("w", F.substring("cut", F.col("i") + 1, F.lit(k)))

@@ -63,6 +63,12 @@ def test_pieces_of_long_texts(spark, monkeypatch):
         assert 0 <= first and first + n + 11 <= len(texts[of])
 
 
+def test_blocks_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    docs = corpus(77, n=40)
+    assert run(spark, docs, 12) == brute(docs, 12)
+
+
 def test_copies_hold_most_rows(spark):
     rnd = random.Random(4)
     text = "".join(rnd.choice("abcdefgh ") for _ in range(300))
