@@ -8,7 +8,9 @@ all rules in rank order. The largest reach of any rule is the merge list's suffi
 end of what has been read is the same whatever follows.
 
 The transducer reads bytes, merges inside a buffer of bounded size, emits the tokens that are stable and keeps the
-rest; no merge crosses a boundary that stays, so the rest can be merged afresh from there.
+rest; no merge crosses a boundary that stays, so the rest can be merged afresh from there. A token is stable as soon as the
+lookahead has been read behind it, or its piece has ended. Every piece of every text takes this way, whatever
+its length; the table of pieces only remembers what the transducer gave for a piece that lies within the lookahead.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _SPLIT = regex.compile(PATTERN)
 _CLASSES = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+")]
 #: Characters that are split at a time, bytes that the transducer takes up before it emits, and pieces whose ids are kept.
-SLICE, BLOCK, KEPT = 65_536, 4_096, 200_000
+SLICE, BLOCK, KEPT = 4_096, 256, 200_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -46,8 +48,6 @@ class MergeList:
 
     def merge(self, piece: bytes, below: int | None = None) -> list[bytes]:
         """Tokens of a whole byte string; ``below``: only merges of a lower rank."""
-        if below is None and piece in self.ranks:
-            return [piece]
         return self._merge_short(piece, below) if len(piece) < 80 else self._merge_long(piece, below)
 
     def _merge_short(self, piece: bytes, below: int | None) -> list[bytes]:
@@ -92,14 +92,21 @@ class MergeList:
         return out
 
     def lookahead(self) -> int:
-        """Bytes after a token's end that decide it, whatever follows them."""
+        """Bytes after a token's end that decide it, whatever follows them.
+
+        `ValueError` where a byte has no token, or a token's own bytes don't merge to it: such a list has no merges to reckon with.
+        """
         if self._lookahead is None:
+            if lost := [i for i in range(256) if bytes([i]) not in self.ranks]:
+                raise ValueError(f"no token for the bytes {lost}")
             parts: dict[bytes, tuple[bytes, bytes]] = {}
             taken: dict[bytes, tuple[list[int], list[int]]] = {}  # by left token: ranks of its rules, largest reach up to each
             most = 1
             for token, r in sorted(self.ranks.items(), key=lambda x: x[1]):
-                if len(token) < 2 or len(two := self.merge(token, below=r)) != 2:
+                if len(token) < 2:
                     continue
+                if len(two := self.merge(token, below=r)) != 2:
+                    raise ValueError(f"no merge reaches the token {token!r}")
                 x, y = parts[token] = (two[0], two[1])
                 reach, s, limit = 0, y, r
                 while True:
@@ -118,12 +125,13 @@ class MergeList:
 
 
 class Transducer:
-    """Bytes of one piece in, ids of stable tokens out; holds at most ``BLOCK`` bytes and the lookahead."""
+    """Bytes of one piece after another in, ids of stable tokens out; holds at most two blocks and the lookahead."""
 
     def __init__(self, merges: MergeList, block: int = BLOCK) -> None:
         self.merges, self.block, self.held, self.ahead = merges, block, b"", merges.lookahead()
 
     def push(self, data: bytes) -> Iterator[int]:
+        """Ids that no further byte of the piece can change."""
         for i in range(0, len(data), self.block):
             self.held += data[i : i + self.block]
             if len(self.held) > self.block + self.ahead:
@@ -136,20 +144,23 @@ class Transducer:
                 self.held = self.held[at:]
 
     def finish(self) -> Iterator[int]:
+        """The other ids of the piece, which ends here."""
         rest, self.held = self.held, b""
         yield from (self.merges.ranks[t] for t in self.merges.merge(rest))
 
 
 class Encoder(dict):
-    """Texts to ids. As a dict it keeps the ids of pieces met before, at most ``KEPT``."""
+    """Texts to ids. As a dict it is the table of what the transducer gave for short pieces, at most ``KEPT``."""
 
     def __init__(self, merges: MergeList, slice_chars: int = SLICE, block: int = BLOCK) -> None:
         super().__init__()
         self.merges, self.slice, self.block = merges, slice_chars, block
+        self.transducer = Transducer(merges, block)
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(map(self.merges.ranks.__getitem__, self.merges.merge(piece.encode())))
-        if len(piece) <= 64:
+        data, t = piece.encode(), self.transducer
+        ids = (*t.push(data), *t.finish())
+        if len(data) <= t.ahead:
             if len(self) >= KEPT:
                 self.clear()
             self[piece] = ids
@@ -157,48 +168,43 @@ class Encoder(dict):
 
     def encode(self, text: str | None) -> array:
         """Ids of a text; none for an empty or null text."""
-        if not text:
-            return array("i")
-        if len(text) <= self.slice:
-            return array("i", chain.from_iterable(map(self.__getitem__, _SPLIT.findall(text))))
-        return array("i", self.stream(text[i : i + self.slice] for i in range(0, len(text), self.slice)))
+        return array("i", chain.from_iterable(self.stream(text[i : i + self.slice] for i in range(0, len(text or ""), self.slice))))
 
-    def stream(self, slices: Iterable[str]) -> Iterator[int]:
-        """Ids of a text that comes in slices, with memory for a few slices only.
+    def stream(self, slices: Iterable[str]) -> Iterator[Iterable[int]]:
+        """Ids of a text that comes in slices, piece by piece, with memory for a few slices only.
 
         What follows can change at most the last two pieces seen (a contraction takes up to three characters), so these wait for the next
-        slice; a piece that grows beyond two slices goes through the transducer part by part.
+        slice; of a piece that grows beyond two slices the stable ids are given before it ends.
         """
         held, run, kind = "", None, None
         for part in slices:
+            if held and run is None:
+                pieces = _SPLIT.findall(held)
+                yield from map(self.__getitem__, pieces[:-2])
+                held = "".join(pieces[-2:])
+                if len(pieces[-1]) > 2 * self.slice:
+                    last = pieces[-1]
+                    yield from map(self.__getitem__, pieces[-2:-1])
+                    run, kind = Transducer(self.merges, self.block), next(c for c in _CLASSES if c.match(last[-1]))
+                    n = len(last) - (kind is _CLASSES[2])
+                    yield run.push(last[:n].encode())
+                    held = last[n:]
             held += part
             if run is not None:
                 same = kind.match(held)
                 # the last white space before another character is a piece of its own or leads the next one
                 n = (same.end() if same else 0) - (kind is _CLASSES[2])
                 if n > 0:
-                    yield from run.push(held[:n].encode())
+                    yield run.push(held[:n].encode())
                     held = held[n:]
-                if len(held) <= (kind is _CLASSES[2]) and (not held or kind.match(held)):
-                    continue
-                yield from run.finish()
-                run = None
-            pieces = _SPLIT.findall(held)
-            ready, pieces = pieces[:-2], pieces[-2:]
-            yield from chain.from_iterable(map(self.__getitem__, ready))
-            held = "".join(pieces)
-            if len(pieces[-1]) > 2 * self.slice:
-                last = pieces.pop()
-                yield from chain.from_iterable(map(self.__getitem__, pieces))
-                run, kind = Transducer(self.merges, self.block), next(c for c in _CLASSES if c.match(last[-1]))
-                n = len(last) - (kind is _CLASSES[2])
-                yield from run.push(last[:n].encode())
-                held = last[n:]
+                if len(held) > (kind is _CLASSES[2]) or (held and not kind.match(held)):
+                    yield run.finish()
+                    run = None
         if run is not None:
-            yield from run.push(held.encode())
-            yield from run.finish()
+            yield run.push(held.encode())
+            yield run.finish()
         else:
-            yield from chain.from_iterable(map(self.__getitem__, _SPLIT.findall(held)))
+            yield from map(self.__getitem__, _SPLIT.findall(held))
 
 
 class Decoder:

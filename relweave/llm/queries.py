@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from relweave.llm.leak import drop_leaked, find_leaks
 from relweave.llm.pairs import cooccurring
 from relweave.llm.spans import shared_amounts, shared_spans
-from relweave.llm.sql import P2_FOUND, P2_PAIRS, P4_FOUND, P8_AMOUNTS, P8_FOUND
+from relweave.llm.sql import P2_FOUND, P2_PAIRS, P4_FOUND, P6_ROUNDTRIP, P8_AMOUNTS, P8_FOUND
 from relweave.llm.tokens import decode_corpus, encode_corpus
 from relweave.llm.topn import top_n
 from relweave.operators.versions import latest
@@ -68,4 +68,4 @@ def p8_amounts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_amounts": p8_amounts}
-SQL = {"p2_found": P2_FOUND, "p2_pairs": P2_PAIRS, "p4_found": P4_FOUND, "p8_found": P8_FOUND, "p8_amounts": P8_AMOUNTS}
+SQL = {"p2_found": P2_FOUND, "p2_pairs": P2_PAIRS, "p4_found": P4_FOUND, "p6_roundtrip": P6_ROUNDTRIP, "p8_found": P8_FOUND, "p8_amounts": P8_AMOUNTS}

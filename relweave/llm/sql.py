@@ -16,6 +16,9 @@ with v as (select * from (select *, row_number() over (partition by product_id o
 select category, product_id from g where category <> '' and price is not null and not isnan(price)
 qualify row_number() over (partition by category order by price desc, product_id) <= 5"""
 
+#: Every text comes back from its ids as it was.
+P6_ROUNDTRIP = "select source, count(*) as n_docs, count(*) as n_same from documents group by source"
+
 P8_FOUND = """
 with d as (select doc_id, text from documents where length(text) >= 100),
  w as (select doc_id, i - 1 as i, md5(substring(text, i, 100)) as x from (select doc_id, text, unnest(generate_series(1, length(text) - 99)) as i from d)),

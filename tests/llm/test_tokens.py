@@ -85,3 +85,66 @@ def test_corpus(spark):
     back = {(r["doc_id"], r["text"]) for r in K.decode_corpus(enc).collect()}
     assert back == {(i, t or "") for i, t, _ in rows}
     assert K.encode_corpus(docs.limit(0)).count() == 0
+
+
+def test_every_piece_goes_through_the_transducer(monkeypatch):
+    """Of a corpus, with the table of pieces switched off: as many pieces as the transducer ended, and ids given before a long piece ended."""
+    ended, early = [], []
+    finish, push = B.Transducer.finish, B.Transducer.push
+
+    def counted_push(self, data):
+        ids = list(push(self, data))
+        early.extend(ids)
+        return ids
+
+    def counted_finish(self):
+        ended.append(1)
+        return finish(self)
+
+    monkeypatch.setattr(B.Transducer, "push", counted_push)
+    monkeypatch.setattr(B.Transducer, "finish", counted_finish)
+    monkeypatch.setattr(B.Encoder, "__setitem__", lambda self, piece, ids: None)
+    texts = [t for t in TRICKY if t] + ["short words only", "日本語" * 500, "x" * 40_000, "words and " * 5_000]
+    encoder = B.Encoder(MERGES)
+    for text in texts:
+        ended.clear(), early.clear()
+        assert list(encoder.encode(text)) == ENC.encode_ordinary(text)
+        assert len(ended) == len(B._SPLIT.findall(text)), text[:40]
+        assert bool(early) == any(len(p.encode()) > B.BLOCK + MERGES.lookahead() for p in B._SPLIT.findall(text)), text[:40]
+    assert not encoder
+
+
+def test_the_table_only_remembers():
+    once, again = B.Encoder(MERGES), B.Encoder(MERGES)
+    for text in TRICKY * 2:
+        again.encode(text)
+    assert all(list(ids) == list(once.encode(piece)) and len(piece.encode()) <= MERGES.lookahead() for piece, ids in again.items())
+
+
+def test_lists_with_tokens_that_no_merge_reaches_are_refused():
+    single = {bytes([i]): i for i in range(256)}
+    assert B.MergeList(single | {b"ab": 256, b"abc": 257}).lookahead() >= 1
+    with pytest.raises(ValueError, match="no merge reaches"):
+        B.MergeList(single | {b"abc": 256}).lookahead()
+    with pytest.raises(ValueError, match="no merge reaches"):
+        B.MergeList(single | {b"bc": 256, b"ab": 257, b"abcd": 258}).lookahead()
+    with pytest.raises(ValueError, match="no token for the bytes"):
+        B.MergeList({b"a": 0}).lookahead()
+
+
+def test_random_merge_lists_by_slices():
+    """Well-formed lists: what comes piece by piece is what the whole merge gives."""
+    rnd = random.Random(12)
+    for _ in range(150):
+        ranks = {bytes([i]): i for i in range(256)}
+        pool = [b"a", b"b", b"c"]
+        for _ in range(rnd.randint(1, 14)):
+            token = rnd.choice(pool) + rnd.choice(pool)
+            if token not in ranks and len(B.MergeList(ranks | {token: 1 << 20}).merge(token)) == 1:
+                ranks[token] = 256 + len(ranks)
+                pool.append(token)
+        merges = B.MergeList(ranks)
+        piece = bytes(rnd.choice(b"abc") for _ in range(400))
+        t = B.Transducer(merges, block=rnd.randint(1, 9))
+        ids = [*t.push(piece[:150]), *t.push(piece[150:]), *t.finish()]
+        assert ids == [ranks[x] for x in merges.merge(piece)]
