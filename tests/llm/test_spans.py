@@ -100,3 +100,87 @@ def test_amounts(spark):
     docs = spark.createDataFrame([(1, "abcdefghijklmn"), (2, "abcdefghijkl"), (3, None), (4, ""), (5, "zz")], "doc_id long, text string")
     got = {r["doc_id"]: (r["shared_chars"], round(r["share"], 4)) for r in S.shared_amounts(docs, S.shared_spans(docs, k=6)).collect()}
     assert got == {1: (12, round(12 / 14, 4)), 2: (12, 1.0), 3: (0, 0.0), 4: (0, 0.0), 5: (0, 0.0)}
+
+
+def test_texts_with_one_fingerprint_are_found_and_refused(spark, monkeypatch):
+    """With no bits of the fingerprints left, all runs of one minimizer count as the same until their texts are compared."""
+    docs = [(1, "zzzzabcdefghzzzzz"), (2, "yabcdefghyyyyy"), (3, "xxabcdefghxx"), (4, "wwabcdefghww")]
+    want = brute(docs, 10)
+    docs += [(5, "qqabcdefghrr"), (6, "abcdefghrr qq")]
+    want = brute(docs, 10)
+    monkeypatch.setattr(S, "ATTEMPTS", ((0, 0),))
+    with pytest.raises(S.Clash, match="different texts"):
+        run(spark, docs, 10, 8)
+    monkeypatch.setattr(S, "ATTEMPTS", ((0, 0), (1, 0), (2, -1)))
+    assert run(spark, docs, 10, 8) == want
+
+
+def test_windows_with_one_fingerprint_are_refused(spark, monkeypatch):
+    """Branches whose windows are told apart by no bit."""
+    rnd = random.Random(17)
+    noise = lambda m: "".join(rnd.choice("abcdefghijkl") for _ in range(m))
+    docs = [(i, noise(20) + " the phrase that everyone uses " + noise(20)) for i in range(40)]
+    monkeypatch.setattr(S, "ATTEMPTS", ((0, 7), (1, -1)))
+    assert run(spark, docs, 24) == brute(docs, 24)
+
+
+def path_rows(spark, docs, k, g=None):
+    df = spark.createDataFrame(docs, "doc long, text string")
+    df = df.selectExpr("doc", "xxhash64(text) as rid", "text")
+    seen = []
+    paths = S._paths
+
+    def kept(*args):
+        seen.append(paths(*args))
+        return seen[-1]
+
+    S._paths = kept
+    try:
+        S._shared(df, k, g or k // 2, 0, -1).count()
+    finally:
+        S._paths = paths
+    return sorted(tuple(r) for r in seen[0].select("doc", "s", "n").collect())
+
+
+def test_runs_are_joined_to_paths(spark):
+    rnd = random.Random(23)
+    noise = lambda m: "".join(rnd.choice("abcdefghijklmnop") for _ in range(m))
+    one, two = noise(400), noise(300)
+    # two documents share a long passage: one path a copy, though it takes many runs
+    rows = path_rows(spark, [(1, noise(50) + one + noise(50)), (2, noise(70) + one + noise(30)), (3, noise(200))], 40)
+    assert len(rows) == 2 and all(n > 3 * 21 for _, _, n in rows) and rows[0][2] == rows[1][2]
+    # a third leaves in the middle: all copies are cut where it does
+    rows = path_rows(spark, [(1, one), (2, one), (3, one[:200] + noise(80))], 40)
+    assert len(rows) == 5 and sorted(d for d, _, _ in rows) == [1, 1, 2, 2, 3]
+    assert sum(n for d, _, n in rows if d == 1) == len(one) - 39
+    # copies of a whole text are one path each
+    rows = path_rows(spark, [(i, two) for i in range(6)], 40)
+    assert rows == [(i, 0, len(two) - 39) for i in range(6)]
+    # a loop in a text that repeats itself has a beginning
+    loop = noise(70) * 5
+    rows = path_rows(spark, [(1, loop), (2, loop)], 40)
+    assert {(d, sum(n for e, _, n in rows if e == d)) for d, _, _ in rows} == {(1, len(loop) - 39), (2, len(loop) - 39)}
+
+
+def test_paths_longer_than_a_piece_and_a_block(spark, monkeypatch):
+    rnd = random.Random(29)
+    noise = lambda m: "".join(rnd.choice("abcdefghijklmnop🙂") for _ in range(m))
+    one = noise(500)
+    docs = [(1, noise(90) + one + noise(10)), (2, noise(31) + one), (3, noise(300)), (4, one[100:350] + noise(40) + one[:60])]
+    want = brute(docs, 24)
+    monkeypatch.setattr(S, "PIECE", 32)
+    monkeypatch.setattr(S, "BLOCK", 50)
+    assert run(spark, docs, 24) == want
+
+
+def test_only_texts_that_are_needed_are_cut(spark):
+    rnd = random.Random(37)
+    noise = lambda m: "".join(rnd.choice("abcdefghijklmnop") for _ in range(m))
+    texts = spark.createDataFrame([(i, noise(100)) for i in range(300)], "doc long, text string").selectExpr("doc", "xxhash64(text) as rid", "text")
+    places = texts.filter("doc % 100 = 7").selectExpr("doc", "rid", "5 as s", "-1 as piece", "1L as anchor", "1L as hi", "1L as lo", "3 as n")
+    cuts = S._cut(texts, places, 20)
+    assert {(r["doc"], r["cut"]) for r in cuts.collect()} == {(r["doc"], r["text"][5:27]) for r in texts.filter("doc % 100 = 7").collect()}
+    lost = places.selectExpr("doc", "rid + 1 as rid", "s", "piece", "anchor", "hi", "lo", "n")
+    assert S._cut(texts, lost, 20).filter("cut is null").count() == 3
+    past = places.selectExpr("doc", "rid", "90 as s", "piece", "anchor", "hi", "lo", "n")
+    assert S._cut(texts, past, 20).filter("cut is null").count() == 3
