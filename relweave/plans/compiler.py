@@ -1,7 +1,8 @@
 """A selector as one lazy DataFrame.
 
 Order: scan, joins in the order named, filters, semantic clauses, then aggregation or projection, sort, offset, limit.
-Catalyst pushes the filters below the joins and prunes columns where that is legal; nothing runs before an action.
+Catalyst pushes the filters below the joins and prunes columns where that is legal. Nothing runs before an action, but for
+an offset without a limit (or a very large one), which first looks for the key at that position.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from relweave.functions.ratcliff import near_values
 from relweave.functions.text import norm
 from relweave.plans import predicates
 from relweave.plans.cardinality import check_join
+from relweave.plans.paging import page
 from relweave.plans.scope import Scope, Slot, enter, quoted
 from relweave.plans.selectors import Query, SchemaOnly, SemanticOnly, parse
 from relweave.semantic.clauses import apply_clauses
@@ -103,7 +105,7 @@ def join_chain(catalog: Catalog, q: Query, options: Options) -> tuple[DataFrame,
     if options.offset_on_root:
         df = _with_near(df, q, scope, options)
         key = quoted(root.internal(catalog.primary_key(q.root_entity)))
-        df = df.orderBy(F.asc_nulls_last(key)).offset(q.offset)
+        df = page(df, [(F.col(key), False)], None, q.offset)
     for name in q.relations:
         r = catalog.relation(name)
         if scope.has(r.from_entity):
@@ -171,11 +173,6 @@ def _key_column(catalog: Catalog, scope: Scope, entity: str) -> Column:
     return F.col(quoted(slot.internal(catalog.primary_key(slot.entity))))
 
 
-def _page(df: DataFrame, limit: int | None, offset: int) -> DataFrame:
-    df = df.offset(offset) if offset else df
-    return df if limit is None else df.limit(limit)
-
-
 def _aggregate(df: DataFrame, q: Query, scope: Scope, meta: dict[str, Any]) -> Compiled:
     groups = []
     for g in q.group_by:
@@ -190,14 +187,14 @@ def _aggregate(df: DataFrame, q: Query, scope: Scope, meta: dict[str, Any]) -> C
     if not groups:  # one row; paging doesn't apply
         return Compiled(df.agg(*aggs), {a.name: a.name for a in q.aggregations}, kind="aggregations", entity=q.root_entity, meta=meta)
     aggs = aggs or [F.count(F.lit(1)).alias("count")]
-    order = [F.asc_nulls_last(quoted(n)) for n in names]
+    order = [(F.col(quoted(n)), False) for n in names]  # one row a group, so nothing ties
     if q.semantic_clauses:
-        out = df.groupBy(*groups).agg(*aggs, F.sum(quoted(SCORE)).alias(SCORE)).orderBy(F.desc(quoted(SCORE)), *order).drop(SCORE)
+        out = df.groupBy(*groups).agg(*aggs, F.sum(quoted(SCORE)).alias(SCORE))
+        out = page(out, [(F.col(quoted(SCORE)), True), *order], q.limit, q.offset).drop(SCORE)
     else:
         out = df.groupBy(*groups).agg(*aggs)
-        if q.limit is not None or q.offset:
-            out = out.orderBy(*order)
-    return Compiled(_page(out, q.limit, q.offset), {c: c for c in out.columns}, entity=q.root_entity, meta=meta)
+        out = page(out, order if q.limit is not None or q.offset else [], q.limit, q.offset)
+    return Compiled(out, {c: c for c in out.columns}, entity=q.root_entity, meta=meta)
 
 
 def _project(catalog: Catalog, df: DataFrame, q: Query, scope: Scope, options: Options, meta: dict[str, Any]) -> Compiled:
@@ -219,12 +216,16 @@ def _project(catalog: Catalog, df: DataFrame, q: Query, scope: Scope, options: O
                 columns.append(F.col(quoted(slot.internal(c))).alias(out))
                 (data if label is None else related.setdefault(label, {}))[c] = out
     key = catalog.entity(q.root_entity).primary_key
-    by_key = [F.asc_nulls_last(quoted(scope.root.internal(key)))] if key in scope.root.columns else []
+    order: list[tuple[str, Column, bool]] = []
     if q.semantic_clauses:
-        df = df.orderBy(F.desc(quoted(SCORE)), *by_key)
-    elif options.order_by_key and by_key and q.offset:
-        df = df.orderBy(*by_key)
-    return Compiled(_page(df.select(*columns), q.limit, q.offset), data, related, entity=q.root_entity, meta=meta)
+        order.append(("order:score", F.col(quoted(SCORE)), True))
+    if key in scope.root.columns and (q.semantic_clauses or (options.order_by_key and q.offset)):
+        order.append(("order:key", F.col(quoted(scope.root.internal(key))), False))
+    out = df.select(*columns, *[c.alias(n) for n, c, _ in order])
+    names = out.columns[: len(columns)]
+    ambiguous = len(set(names)) < len(names)
+    out = page(out, [(F.col(quoted(n)), down) for n, _, down in order], q.limit, q.offset, () if ambiguous else names)
+    return Compiled(out.drop(*[n for n, _, _ in order]), data, related, entity=q.root_entity, meta=meta)
 
 
 def normalised(c: Column) -> Column:
