@@ -5,34 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds more than one of so many equal parts of the rows, so fewer keys than that can be hot; rows that no join need be cut for.
+#: Least number of equal parts that rows are thought cut into (the session's shuffle partitions if these are more); rows that no join need be cut for.
 PARTS, FEW = 256, 50_000
 
 
-def hot_pieces(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame | None:
-    """Hot keys and ``pieces``, one piece for each part of the rows that a key holds; none where no key is hot.
+def hot_pieces(counts: DataFrame, keys: list[str], n: str = "n", total: int | None = None) -> DataFrame | None:
+    """Keys that hold more than one part of the rows, and ``pieces``, one for each part that a key holds; none where no key is hot.
 
-    ``counts``: a written table of ``keys`` and their rows ``n``, not necessarily of all keys: leaving out keys can only make others hot.
+    There are fewer hot keys than parts, whatever the data. ``counts``: rows ``n`` by ``keys``, not necessarily of all keys;
+    ``total``: the rows of all keys, else the sum of ``n``.
     """
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    part = max(FEW, total // PARTS)
-    rows = counts.filter(F.col(n) > part).select(*keys, F.ceil(F.col(n) / part).cast("int").alias("pieces")).collect()  # fewer than PARTS
-    if not rows:
-        return None
     spark = counts.sparkSession
-    return spark.createDataFrame(rows, counts.select(*keys, F.lit(0).alias("pieces")).schema)
+    if total is None:
+        total = counts.agg(F.sum(n)).first()[0] or 0
+    part = max(FEW, total // max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = counts.filter(F.col(n) > part).select(*keys, F.ceil(F.col(n) / part).cast("int").alias("pieces"))
+    rows = found.collect()
+    return spark.createDataFrame(rows, found.schema) if rows else None
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, spread_by: list[str], how: str = "inner", hint: str | None = None) -> DataFrame:
     """``left JOIN right USING (keys)``; the rows of ``left`` with a hot key go to as many partitions as the key has pieces.
 
     ``hot``: of `hot_pieces`; ``spread_by``: columns of ``left`` that tell a key's rows apart. ``right`` has few rows a key: those of
-    hot keys are repeated once a piece, fewer than ``2 * PARTS`` times in all for each of them.
+    hot keys are repeated once a piece, so at most twice as often as there are parts.
     """
     if hot is None:
         return left.join(right.hint(hint) if hint else right, keys, how)
     pieces, salt = F.coalesce("pieces", F.lit(1)), "__salt"
-    few = F.broadcast(hot)  # fewer than PARTS rows
+    few = F.broadcast(hot)  # fewer rows than parts
 
     def with_salt(df: DataFrame, salts: Column) -> DataFrame:
         own = df.columns

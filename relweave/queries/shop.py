@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.operators.eager import eager_join_aggregate, hot_keys, with_field_total
-from relweave.operators.orphans import find_orphans, validity
+from relweave.operators.eager import eager_join_aggregate, with_field_total
+from relweave.operators.orphans import find_orphans, hot_references, validity
 from relweave.operators.rolling import rolling_totals
 from relweave.operators.versions import cents, latest
 from relweave.plans.materialize import materialize
@@ -60,24 +60,25 @@ union all select 'shop_orders.customer_id', g.k, n.n, cast(hits // n.n as bigint
 from go g join no n on g.k is not distinct from n.k"""
 
 
-def orphans(spark: SparkSession, sf: str) -> DataFrame:
-    items, orders = _read(spark, sf, "order_items"), _read(spark, sf, "shop_orders")
-    products, customers = _read(spark, sf, "products"), _read(spark, sf, "customers")
+def orphans(spark: SparkSession, sf: str, ended: bool = False) -> DataFrame:
+    """Each table is read once: what it refers to and when its keys arrived comes from one aggregate, written for both uses."""
 
-    def refs(df: DataFrame, row: str, table: str, parents: dict[str, str]) -> DataFrame:
-        """References of each row by its first arrival; a reference doesn't change between versions."""
-        seen = df.filter(F.col(row).isNotNull()).groupBy(F.col(row).alias("row_id")).agg(F.min("loaded_at").alias("seen_at"), *[F.max(c).alias(c) for c in parents])
+    def first_seen(table: str, row: str, parents: tuple[str, ...] = ()) -> DataFrame:
+        """Rows by their first arrival; a reference doesn't change between versions."""
+        df = _read(spark, sf, table).filter(F.col(row).isNotNull())
+        return df.groupBy(F.col(row).alias("row_id")).agg(F.min("loaded_at").alias("seen_at"), F.max("loaded_at").alias("last_at"), *[F.max(c).alias(c) for c in parents])
+
+    def refs(seen: DataFrame, table: str, parents: dict[str, str]) -> DataFrame:
         each = F.array(*[F.struct(F.lit(f"{table}.{c}").alias("field"), F.lit(p).alias("parent"), F.col(c).alias("key")) for c, p in parents.items()])
         return seen.select("row_id", "seen_at", F.inline(each)).select("field", "parent", "row_id", "key", "seen_at")
 
-    all_refs = refs(items, "order_item_id", "order_items", {"order_id": "shop_orders", "product_id": "products"}).unionByName(refs(orders, "order_id", "shop_orders", {"customer_id": "customers"}))
-    parents = reduce(
-        DataFrame.unionByName,
-        [df.select(F.lit(t).alias("parent"), F.col(k).alias("key"), "loaded_at") for t, k, df in (("shop_orders", "order_id", orders), ("products", "product_id", products), ("customers", "customer_id", customers))],
-    )
+    items = materialize(first_seen("order_items", "order_item_id", ("order_id", "product_id")).drop("last_at"), "items")
+    orders = materialize(first_seen("shop_orders", "order_id", ("customer_id",)), "orders")
+    all_refs = refs(items, "order_items", {"order_id": "shop_orders", "product_id": "products"}).unionByName(refs(orders, "shop_orders", {"customer_id": "customers"}))
+    rows = {"shop_orders": orders, "products": first_seen("products", "product_id"), "customers": first_seen("customers", "customer_id")}
+    parents = reduce(DataFrame.unionByName, [df.select(F.lit(t).alias("parent"), F.col("row_id").alias("key"), F.col("seen_at").alias("loaded_at"), "last_at") for t, df in rows.items()])
     deleted = _read(spark, sf, "deleted_keys").select(F.col("table_name").alias("parent"), F.col("key_value").alias("key"), "deleted_at")
-    hot = {"shop_orders": hot_keys(items, "order_id"), "products": hot_keys(items, "product_id"), "customers": hot_keys(orders, "customer_id")}
-    return find_orphans(all_refs, validity(parents, deleted), hot)
+    return find_orphans(all_refs, validity(parents, deleted), hot_references(all_refs), ended)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,6 +90,11 @@ def p3_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphans(spark, sf).groupBy("field", "period", "kind").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def p3_after_deletion(spark: SparkSession, sf: str) -> DataFrame:
+    """Orphans by the parents' intervals: references that were made after the parent's deletion too."""
+    return orphans(spark, sf, ended=True)
+
+
 P3_FOUND = """
 with i as (select order_item_id row_id, min(loaded_at) seen, max(order_id) order_id, max(product_id) product_id from order_items group by 1),
  o as (select order_id row_id, min(loaded_at) seen, max(customer_id) customer_id from shop_orders group by 1),
@@ -104,6 +110,10 @@ select field, strftime(seen, '%Y-%m') as period,
 from refs left join parents using (t, k) left join gone using (t, k)
 where refs.k is not null and (since is null or since > seen)"""
 
+P3_AFTER_DELETION = P3_FOUND.replace("min(loaded_at) since", "min(loaded_at) since, max(loaded_at) last").replace("min(loaded_at) from", "min(loaded_at), max(loaded_at) from").replace(
+    "select distinct table_name t, key_value k from deleted_keys", "select table_name t, key_value k, max(deleted_at) deleted_at from deleted_keys group by 1, 2"
+).replace("since is null or since > seen)", "since is null or since > seen or (deleted_at >= last and deleted_at <= seen))")
+
 P3_REPORT = f"select field, period, kind, count(*) as n_rows from ({P3_FOUND}) group by 1, 2, 3"
 
 
@@ -134,5 +144,5 @@ with v as (select customer_id, order_date, total_amount from (select *, row_numb
 P5_FOUND = _P5 + "select c as customer_id, strftime(d, '%Y-%m-%d') as day from t where d >= date '2022-01-30' and t7 >= 400000 and 10 * t7 >= 7 * t30"
 P5_PEAKS = _P5 + "select c as customer_id, cast(max(t7) as bigint) as max_7, cast(max(t30) as bigint) as max_30, count(*) filter (t30 <> 0) as active_days from t group by 1"
 
-QUERIES = {"p1_found": p1_found, "p1_key_totals": p1_key_totals, "p3_found": p3_found, "p3_report": p3_report, "p5_found": p5_found, "p5_peaks": p5_peaks}
-SQL = {"p1_found": P1_FOUND, "p1_key_totals": P1_KEY_TOTALS, "p3_found": P3_FOUND, "p3_report": P3_REPORT, "p5_found": P5_FOUND, "p5_peaks": P5_PEAKS}
+QUERIES = {"p1_found": p1_found, "p1_key_totals": p1_key_totals, "p3_found": p3_found, "p3_report": p3_report, "p3_after_deletion": p3_after_deletion, "p5_found": p5_found, "p5_peaks": p5_peaks}
+SQL = {"p1_found": P1_FOUND, "p1_key_totals": P1_KEY_TOTALS, "p3_found": P3_FOUND, "p3_report": P3_REPORT, "p3_after_deletion": P3_AFTER_DELETION, "p5_found": P5_FOUND, "p5_peaks": P5_PEAKS}

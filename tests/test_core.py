@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from relweave.functions import text as X
 from relweave.functions.json_repair import repair, repair_text, repaired
 from relweave.operators.eager import eager_join_aggregate, hot_keys, with_field_total
-from relweave.operators.orphans import find_orphans, validity
+from relweave.operators.orphans import find_orphans, hot_references, validity
 from relweave.operators.rolling import rolling_totals
 from relweave.operators.versions import cents, latest
+from relweave.plans import paging, skew
 from relweave.plans.agent import Agent, Baseline, CatalogProvider, Fetch, Item, Packer, PlanError, Profile, answer_text, catalogue_text, parse_json, parse_plan, plan_prompt, synth_prompt
 from relweave.plans.describe import describe
 from relweave.plans.materialize import materialize
@@ -104,9 +105,58 @@ def test_orphans_of_a_hot_key(spark):
         assert got == orphan_rows(spark, refs, parents, []) and len(got) in (400, 200)
 
 
+def test_references_after_the_deletion(spark):
+    r = spark.createDataFrame([("f", "p", i, k, t) for i, (k, t) in enumerate([(1, DAY(4)), (1, DAY(5)), (1, DAY(9)), (2, DAY(9)), (2, DAY(1)), (3, DAY(9)), (4, DAY(9)), (1, None), (5, DAY(9)), (6, DAY(9))])], "field string, parent string, row_id long, key long, seen_at timestamp")
+    # 1 ended, 2 came again after its deletion, 3 never came but is in the log, 5 has null times only, 6 was in the log before it came
+    p = spark.createDataFrame([("p", 1, DAY(2)), ("p", 1, DAY(3)), ("p", 2, DAY(2)), ("p", 2, DAY(8)), ("p", 5, None), ("p", 6, DAY(7))], "parent string, key long, loaded_at timestamp")
+    d = spark.createDataFrame([("p", 1, DAY(5)), ("p", 2, DAY(6)), ("p", 3, DAY(1)), ("p", 6, DAY(3))], "parent string, key long, deleted_at timestamp")
+    ends = {r["key"]: r["valid_to"] for r in validity(p, d).collect()}
+    assert ends == {1: DAY(5), 2: None, 3: None, 5: None, 6: None}
+    now = {r["row_id"]: r["kind"] for r in find_orphans(r, validity(p, d)).collect()}
+    assert now == {4: "late", 5: "deleted", 6: "missing", 8: "missing"}
+    then = {r["row_id"]: r["kind"] for r in find_orphans(r, validity(p, d), ended=True).collect()}
+    assert then == now | {1: "deleted", 2: "deleted"}
+    again = {r["row_id"]: r["kind"] for r in find_orphans(r, validity(p, d), {"p": {1: 3, 2: 2}}, ended=True).collect()}
+    assert again == then
+
+
+def test_pieces_in_proportion_to_a_keys_rows(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FEW", 10)
+    monkeypatch.setattr(skew, "PARTS", 4)
+    refs = spark.range(400).selectExpr("'f' as field", "'p' as parent", "id as row_id", "case when id < 300 then 1 when id < 398 then 2 end as key", "cast(null as timestamp) as seen_at")
+    assert hot_references(refs) == {"p": {1: 3}}  # 300 rows in parts of 100; 98 are no part
+    assert hot_references(refs.limit(0)) == {}
+    left = refs.select("row_id", "key")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (7, "e")], "key long, v string")
+    counts = left.groupBy("key").count()
+    hot = skew.hot_pieces(counts, ["key"], "count")
+    assert [(r["key"], r["pieces"]) for r in hot.collect()] == [(1, 3)]
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a = skew.salted_join(left, right, ["key"], hot, ["row_id"], how)
+        b = left.join(right, ["key"], how)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert skew.salted_join(left, right, ["key"], None, ["row_id"], how).count() == b.count()
+
+
 # --- rolling totals ---------------------------------------------------------------------------------------------
 
 
+def test_rolling_over_gaps_and_ends(spark):
+    """Gaps as long as the longest period, one less and one more, and activity on the first and the last day."""
+    start, end = dt.date(2024, 1, 1), dt.date(2024, 3, 31)
+    for seed, gaps in ((1, [5, 4, 6, 1, 12, 5]), (2, [90]), (3, [4, 4, 4]), (4, [1, 1, 30])):
+        rows, d = [], 0
+        for i, g in enumerate(gaps):
+            rows.append((seed, start + dt.timedelta(d), (i + 1) * (-1 if i == 2 else 1)))
+            d += g
+        rows += [(seed + 10, start, 5), (seed + 10, end, 7), (seed + 10, end, None), (seed + 20, end, -4)]
+        got = {(r["c"], r["d"]): (r["a"], r["total_2"], r["total_5"]) for r in rolling_totals(spark.createDataFrame(rows, "c long, d date, a long"), "c", "d", "a", start, end, (2, 5)).collect()}
+        days = [start + dt.timedelta(i) for i in range(91)]
+        sums = {(c, x): sum(a or 0 for e, y, a in rows if e == c and y == x) for c in {r[0] for r in rows} for x in days}
+        want = {(c, x): (v, *[sum(sums.get((c, x - dt.timedelta(i)), 0) for i in range(n)) for n in (2, 5)]) for (c, x), v in sums.items()}
+        assert got == want
+
+
 def test_rolling(spark):
     start, end = dt.date(2024, 1, 1), dt.date(2024, 2, 20)
     rnd = random.Random(3)
@@ -479,3 +529,30 @@ def test_indexes_of_a_catalog(spark, tmp_path):
         assert build_semantic(changed, str(tmp_path / "new")).search("product", [], "bamboo").count() == 0
     with pytest.raises(KeyError):
         first.search("other", [], "x")
+
+
+# --- paging -----------------------------------------------------------------------------------------------------
+
+
+def test_skip_without_a_single_task(spark):
+    rows = [(i % 7 if i % 5 else None, f"v{i % 11}", i) for i in range(200)] + [(3, "same", 0)] * 20
+    df = spark.createDataFrame(rows, "a long, b string, c long").repartition(4)
+    up = lambda r: (r["a"] is None, r["a"] or 0)
+    for offset in (0, 1, 37, 60, 65, 100, 150, 219, 220, 500):
+        got = paging.skip(df, [(F.col("a"), False)], offset, ("a", "b", "c")).collect()
+        assert len(got) == max(0, 220 - offset)
+        assert list(map(up, got)) == sorted(map(up, df.collect()))[offset:]
+        down = paging.skip(df, [(F.col("b"), True), (F.col("c"), False)], offset).collect()
+        assert [(r["b"], r["c"]) for r in down] == sorted(((b, c) for _, b, c in rows), key=lambda x: ([-ord(y) for y in x[0]] + [1], x[1]))[offset:]
+    # pages don't overlap and leave nothing out, whatever ties
+    pages = [tuple(r) for o in range(0, 220, 50) for r in paging.page(df, [(F.col("a"), False)], 50, o, ("a", "b", "c")).collect()]
+    assert len(pages) == 220
+    limit, paging.TOP = paging.TOP, 0
+    try:
+        pages = [tuple(r) for o in range(0, 220, 50) for r in paging.page(df, [(F.col("a"), False)], 50, o, ("a", "b", "c")).collect()]
+    finally:
+        paging.TOP = limit
+    assert sorted(pages, key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert paging.skip(df.limit(0), [(F.col("a"), False)], 3).count() == 0
+    plan = paging.skip(df, [(F.col("a"), False)], 37, ("a", "b", "c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan.replace("LocalLimit 1", "").replace("GlobalLimit 1", "") and "Offset" not in plan
