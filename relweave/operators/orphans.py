@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relweave.plans.skew import hot_pieces, salted_join
+from relweave.plans.skew import Hot, hot_rows, salted_join
 
 #: Pieces that a key's references are cut into if it is only said to be hot, not how hot.
 SALTS = 16
@@ -32,9 +32,8 @@ def validity(parents: DataFrame, deleted: DataFrame) -> DataFrame:
 def hot_references(refs: DataFrame) -> dict[str, dict]:
     """By parent, the keys that hold many of the references, with pieces in proportion to their number."""
     counts = refs.filter("key is not null").groupBy("parent", "key").agg(F.count(F.lit(1)).alias("n"))
-    found = hot_pieces(counts, ["parent", "key"], total=refs.count())
     out: dict[str, dict] = {}
-    for r in found.collect() if found else ():
+    for r in hot_rows(counts, ["parent", "key"], "n", refs.count()).collect():  # fewer than there are parts
         out.setdefault(r["parent"], {})[r["key"]] = r["pieces"]
     return out
 
@@ -59,7 +58,7 @@ def find_orphans(refs: DataFrame, intervals: DataFrame, hot: Mapping[str, list |
     pieces = {p: ks if isinstance(ks, Mapping) else dict.fromkeys(ks, SALTS) for p, ks in (hot or {}).items()}
     rows = [(p, k, n) for p, ks in pieces.items() for k, n in ks.items() if k is not None]
     spark = refs.sparkSession
-    few = spark.createDataFrame(rows, refs.select("parent", "key", F.lit(0).alias("pieces")).schema) if rows else None
+    few = Hot.of(spark.createDataFrame(rows, refs.select("parent", "key", F.lit(0).alias("pieces")).schema), ["parent", "key"]) if rows else None
     left = refs.filter("key is not null").select("field", "parent", "row_id", "key", "seen_at")
     met = salted_join(left, intervals, ["parent", "key"], few, ["row_id"], "left", hint="merge")
     gone = F.col("valid_to") <= F.col("seen_at") if ended else F.lit(False)
