@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from relweave.plans.materialize import materialize
 from relweave.plans.partitioning import spread
-from relweave.plans.skew import hot_pieces, salted_join
+from relweave.plans.skew import Hot, hot_pieces, salted_join
 
 #: Code points that are hashed at a time (longer texts go in pieces that overlap by k - 1), of a block that cuts are made from, and windows of a piece of a path that is verified as one.
 CHUNK, BLOCK, PIECE = 1_000_000, 65_536, 8_192
@@ -217,7 +217,7 @@ def _shared(texts: DataFrame, k: int, g: int, seed: int, mask: int) -> DataFrame
     return paths.select("doc", "s", (F.col("s") + F.col("n") - 1 + k).alias("e")).unionByName(inside.select("doc", (F.col("first") + F.col("i")).alias("s"), (F.col("first") + F.col("j") + k).alias("e")))
 
 
-def _paths(near: DataFrame, repeated: DataFrame, hot: DataFrame | None) -> DataFrame:
+def _paths(near: DataFrame, repeated: DataFrame, hot: Hot | None) -> DataFrame:
     """``doc, rid, s, anchor, hi, lo, n``: the occurrences of compacted paths, named by their first run; ``n`` windows from ``s`` on.
 
     A repeated run begins a path unless all its occurrences follow one and the same repeated run which nothing else follows. Going along
