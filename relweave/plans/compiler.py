@@ -7,11 +7,12 @@ an offset without a limit (or a very large one), which first looks for the key a
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.functions.ratcliff import near_values
@@ -50,9 +51,32 @@ AGGREGATES = {
     "product": F.product,
     "bool_and": F.bool_and,
     "bool_or": F.bool_or,
+    "any": lambda c: F.bool_or(c.cast("boolean")),
+    "all": lambda c: F.bool_and(c.cast("boolean")),
+    "any_value": lambda c: F.any_value(c, F.lit(True)),
+    "mode": lambda c: F.mode(c, True),
+    "quantile": F.median,
+    "prod": F.product,
+    "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)),
+    "skew": lambda c: _sample_skew(c),
 }
 
 
+def _sample_skew(c: Column) -> Column:
+    """Skewness without bias, null for fewer than three values and 0 for equal ones."""
+    n = F.count(c).cast("double")
+    return F.when(n > 2, F.coalesce(F.nanvl(F.skewness(c), F.lit(0.0)), F.lit(0.0)) * F.sqrt(n * (n - 1)) / (n - 2))
+
+
+def aggregate(spark: SparkSession, name: str) -> Callable[[Column], Column]:
+    """An aggregate by its name here, else by that of a function that the session knows (its own or one of the user's)."""
+    if name in AGGREGATES:
+        return AGGREGATES[name]
+    if not re.fullmatch(r"[A-Za-z_]\w*", name) or not spark.catalog.functionExists(name):
+        raise ValueError(f"Unsupported aggregation: {name}")
+    return lambda c: F.call_function(name, c)
+
+
 @dataclass(frozen=True)
 class Options:
     """What a selector can't say. ``tolerance``: of the soft ``=``; ``null_equal``: null join keys match each other; ``check_cardinality``:
@@ -103,7 +127,7 @@ def join_chain(catalog: Catalog, q: Query, options: Options) -> tuple[DataFrame,
     df, root = enter(catalog.table(q.root_entity), 0, q.root_entity, None, catalog.columns(q.root_entity))
     scope = Scope(root)
     if options.offset_on_root:
-        df = _with_near(df, q, scope, options)
+        df = _with_near(catalog, df, q, scope, options)
         key = quoted(root.internal(catalog.primary_key(q.root_entity)))
         df = page(df, [(F.col(key), False)], None, q.offset)
     for name in q.relations:
@@ -130,16 +154,17 @@ def join_chain(catalog: Catalog, q: Query, options: Options) -> tuple[DataFrame,
     return df, scope
 
 
-def _with_near(df: DataFrame, q: Query, scope: Scope, options: Options) -> DataFrame:
-    """Filters; near matches are worked out on the distinct values of a column and joined back."""
+def _with_near(catalog: Catalog, df: DataFrame, q: Query, scope: Scope, options: Options) -> DataFrame:
+    """Filters; near matches are worked out on the distinct values of a column of its own table and joined to the rows."""
     added: list[str] = []
     frame = df
 
-    def near(n: Column, needles: list[str]) -> Column:
+    def near(n: Column, needles: list[str], slot: Slot, column: str) -> Column:
         nonlocal frame
         value, mark = f"near:{len(added)}", f"near:{len(added)}:hit"
         frame = frame.withColumn(value, n)
-        hits = near_values(frame, quoted(value), needles).select(F.col("value").alias(mark))
+        base = catalog.table(slot.entity).select(norm(F.col(quoted(column)).cast("string")).alias("value"))
+        hits = near_values(base, "value", needles).select(F.col("value").alias(mark))
         frame = frame.join(hits, F.col(quoted(value)) == F.col(quoted(mark)), "left")
         added.extend((value, mark))
         # null stays null, so that a negation doesn't keep rows without a value
@@ -156,7 +181,7 @@ def compile_query(catalog: Catalog, q: Query, options: Options) -> Compiled:
     if options.offset_on_root:
         q = replace(q, offset=0)
     else:
-        df = _with_near(df, q, scope, options)
+        df = _with_near(catalog, df, q, scope, options)
     if q.semantic_clauses:
         df = apply_clauses(catalog, df, q.semantic_clauses, lambda entity: _key_column(catalog, scope, entity), SCORE)
     meta: dict[str, Any] = {"relations_used": list(q.relations)}
@@ -181,9 +206,7 @@ def _aggregate(df: DataFrame, q: Query, scope: Scope, meta: dict[str, Any]) -> C
     names = [g.alias or scope.resolve(g.field, g.entity)[2] for g in q.group_by]
     aggs = []
     for a in q.aggregations:
-        if a.agg not in AGGREGATES:
-            raise ValueError(f"Unsupported aggregation: {a.agg}")
-        aggs.append(AGGREGATES[a.agg](scope.resolve(a.field)[0]).alias(a.name))
+        aggs.append(aggregate(df.sparkSession, a.agg)(scope.resolve(a.field)[0]).alias(a.name))
     if not groups:  # one row; paging doesn't apply
         return Compiled(df.agg(*aggs), {a.name: a.name for a in q.aggregations}, kind="aggregations", entity=q.root_entity, meta=meta)
     aggs = aggs or [F.count(F.lit(1)).alias("count")]

@@ -47,17 +47,16 @@ def selector_schema(catalog: Catalog) -> dict[str, Any]:
 
 
 def describe(name: str, catalog: Catalog) -> ProviderInfo:
+    """The catalog as declarations: ``table(column type, ...)`` with the key marked by ``!`` and searchable text by ``~``, then ``from.column > to.column``."""
     s = catalog.schema
-    lines = [s.description or "Relational tables.", "Entities:"]
+    about = [s.description or f"Tables of {s.name}"]
     for e in s.entities:
-        notes = [e.label or e.name, *([f"key: {e.primary_key}"] if e.primary_key else []), *([f"semantic: {', '.join(f)}"] if (f := [c.name for c in e.columns if c.semantic]) else []), *([e.planning_hint] if e.planning_hint else [])]
-        lines.append(f"- {e.name}: {'; '.join(notes)}")
-    if s.relations:
-        lines.append("Relations:")
-        lines += [f"- {r.name}: {r.from_entity}.{r.from_column} -> {r.to_entity}.{r.to_column} ({r.cardinality})" + "".join(f"; {x}" for x in (r.semantic_hint, r.planning_hint) if x) for r in s.relations]
-    if s.planning_hints:
-        lines += ["Hints:", *(f"- {h}" for h in s.planning_hints)]
-    return ProviderInfo(name, "\n".join(lines), ("schema", "row_query", "aggregate", "semantic_search", "cross_source_join"), selector_schema(catalog), tuple(s.examples) or tuple(map(_json, _examples(catalog))))
+        columns = ", ".join(c.name + "!" * (c.role == "primary_key") + "~" * c.semantic + f" {c.type}" for c in e.columns)
+        about.append(" # ".join([f"{e.name}({columns})", *filter(None, (e.label, e.planning_hint))]))
+    for r in s.relations:
+        about.append(" # ".join([f"{r.name}: {r.from_entity}.{r.from_column} > {r.to_entity}.{r.to_column}, {r.cardinality}, {r.join}", *filter(None, (r.semantic_hint, r.planning_hint))]))
+    about += [f"# {h}" for h in s.planning_hints]
+    return ProviderInfo(name, "\n".join(about), ("schema", "row_query", "aggregate", "semantic_search", "cross_source_join"), selector_schema(catalog), tuple(s.examples) or tuple(map(_json, _examples(catalog))))
 
 
 def _json(x: Any) -> str:

@@ -38,16 +38,19 @@ def materialize(df: DataFrame, label: str = "cut", by: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system; nothing happens if it isn't there."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
-def _cleanup() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Delete all cuts; frames that read them can't be used any more. Runs when the driver ends, and may be called between jobs of a long-lived one."""
+    while _written:
+        spark, path = _written.pop()
         try:
-            _drop(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+            drop(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone already; the other cuts are still tried
+            continue

@@ -3,6 +3,7 @@
 Strict mode compares as stored. Soft mode (the default of requests) compares text in normal form when the operand is text:
 lower case, no outer white space, single inner blanks. A tolerance may widen the soft ``=``:
 ``contains`` (the value holds the operand) or ``ratcliff`` (similarity of at least 0.85). ``!=`` is always the negation of ``=``.
+A soft ``like`` takes the first text of a list (none: every text); other operators refuse a list, but for ``in`` and ``not_in``.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relweave.functions.text import norm, norm_value
-from relweave.plans.scope import Scope
+from relweave.plans.scope import Scope, Slot
 from relweave.plans.selectors import Compare, Logic
 
 TOLERANCES = ("none", "contains", "ratcliff")
-#: Gives the values of a normalised column that are near to the needles, as an expression on the column.
-Near = Callable[[Column, list[str]], Column]
+#: Gives whether a normalised column's value is near to one of the needles; told the table's place and column that it comes from.
+Near = Callable[[Column, list[str], Slot, str], Column]
 
 
 def literal(value: object, kind: T.DataType) -> Column:
@@ -59,10 +60,11 @@ def strict(c: Column, kind: T.DataType, op: str, value: object) -> Column:
     return {"=": c == v, "!=": c != v, ">": c > v, "<": c < v, ">=": c >= v, "<=": c <= v}[op]
 
 
-def soft(c: Column, op: str, value: object, tolerance: str, near: Near | None) -> Column:
+def soft(c: Column, op: str, value: object, tolerance: str, near: Callable[[Column, list[str]], Column] | None) -> Column:
     n = norm(c.cast("string"))
     if op in ("like", "ilike"):
-        return F.contains(n, F.lit(norm_value(value)))
+        first = (value[0] if value else "") if isinstance(value, (list, tuple)) else value
+        return F.contains(n, F.lit(norm_value(first)))
     given = [norm_value(v) for v in (value if isinstance(value, (list, tuple)) else [value])]
     hit = n.isin(given) if given else F.lit(False)
     if given and tolerance == "contains" and op in ("=", "!="):
@@ -80,12 +82,14 @@ def comparison(f: Compare, scope: Scope, case_sensitive: bool, tolerance: str, n
     c, kind, _ = scope.resolve(f.field, f.entity)
     if f.op in ("in", "not_in"):
         _items(f.value)
-    elif isinstance(f.value, (list, tuple)):
+    elif isinstance(f.value, (list, tuple)) and (case_sensitive or f.op not in ("like", "ilike")):
         raise TypeError(f"'{f.op}' takes a single value")
     texts = [f.value] if not isinstance(f.value, (list, tuple)) else list(f.value)
-    is_text = bool(texts) and all(isinstance(v, str) for v in texts) and isinstance(kind, T.StringType)
+    is_text = (bool(texts) or f.op in ("like", "ilike")) and all(isinstance(v, str) for v in texts) and isinstance(kind, T.StringType)
     if not case_sensitive and is_text and f.op in ("=", "!=", "in", "not_in", "like", "ilike"):
-        return soft(c, f.op, f.value, tolerance, near)
+        owner, column = scope.split(f.field, f.entity)
+        own = (lambda n, needles: near(n, needles, scope.slot(owner), column)) if near else None
+        return soft(c, f.op, f.value, tolerance, own)
     return strict(c, kind, f.op, f.value)
 
 

@@ -33,8 +33,8 @@ def rows(result: Compiled, most: int | None = None) -> list[dict[str, Any]]:
     return out
 
 
-def serialize(result: Compiled, catalog_text: str = "") -> str:
-    """The first rows as text, with a note of how many more there are."""
+def serialize(result: Compiled, catalog_text: str = "", count_rest: bool = True) -> str:
+    """The first rows as text, with a note of how many more there are, or, without ``count_rest``, that there are more."""
     if result.kind == "schema":
         return catalog_text
     if result.kind == "matches":
@@ -48,7 +48,7 @@ def serialize(result: Compiled, catalog_text: str = "") -> str:
         parts = [f"{k}={v}" for k, v in r["data"].items()] + [f"{k}=" + ",".join(f"{n}:{v}" for n, v in d.items()) for k, d in r["related"].items()]
         lines.append(" | ".join(parts))
     if len(first) > SHOWN:
-        lines.append(f"... trimmed {result.frame.count() - SHOWN} rows ...")
+        lines.append(f"... trimmed {result.frame.count() - SHOWN} rows ..." if count_rest else "... more rows ...")
     return "\n".join(lines) or "(empty result)"
 
 

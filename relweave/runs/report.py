@@ -1,11 +1,16 @@
-"""Reports of a comparison: Markdown, JSON, text, JUnit XML. A report lists changes only, so it fits on the driver."""
+"""Reports of a comparison: Markdown, JSON, text, JUnit XML.
+
+Changes are listed, so they are taken to the driver; unchanged cases are counted only. JUnit names every case: the ids that pass
+are streamed to it, a partition at a time.
+"""
 
 from __future__ import annotations
 
+import io
 import json
 from dataclasses import dataclass
-from typing import Any
-from xml.etree import ElementTree
+from typing import Any, TextIO
+from xml.sax.saxutils import quoteattr
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +25,8 @@ class Comparison:
     changes: list[dict[str, Any]]
     counts: dict[str, dict[str, float | None]]
     coverage: dict[str, int]
-    same: list[str]
+    passing: DataFrame  # ids that didn't fail, not brought to the driver
+    n_passing: int
 
     def of(self, outcome: str) -> list[dict[str, Any]]:
         return [c for c in self.changes if c["outcome"] == outcome]
@@ -29,9 +35,9 @@ class Comparison:
 def compare(base: DataFrame, new: DataFrame, fail_on: str = "bad", require_assert: bool = False) -> Comparison:
     diff = diff_runs(base, new, fail_on, require_assert)
     rows = [r.asDict() for r in diff.filter("outcome is not null").orderBy("id").collect()]
-    same = [r["id"] for r in diff.filter("outcome is null").select("id").orderBy("id").collect()]
+    passing = diff.filter("outcome is null or outcome = 'fixed'").select("id")
     counts = {r["metric"]: {k: r[k] for k in ("base", "new", "delta")} for r in count_deltas(base, new, fail_on, require_assert).collect()}
-    return Comparison(rows, counts, coverage_counts(base, new).first().asDict(), same)
+    return Comparison(rows, counts, coverage_counts(base, new).first().asDict(), passing, passing.count())
 
 
 def _number(v: float | None, signed: bool = False) -> str:
@@ -64,16 +70,21 @@ def table(c: Comparison) -> str:
     return "\n".join(lines)
 
 
-def junit(c: Comparison, suite_name: str = "runs") -> str:
+def write_junit(c: Comparison, to: TextIO, suite_name: str = "runs") -> None:
+    """The failing cases in the order of their ids, then the passing ones; written as they come."""
     bad = sorted(c.of("new_fail") + c.of("still_fail"), key=lambda r: r["id"])
-    good = sorted([r["id"] for r in c.of("fixed")] + c.same)
-    suite = ElementTree.Element("testsuite", name=suite_name, tests=str(len(bad) + len(good)), failures=str(len(bad)), errors="0")
+    to.write(f'<testsuite name={quoteattr(suite_name)} tests="{len(bad) + c.n_passing}" failures="{len(bad)}" errors="0">')
     for r in bad:
-        case = ElementTree.SubElement(suite, "testcase", name=r["id"])
-        ElementTree.SubElement(case, "failure", message=r["reason"] or f"{r['from']} → {r['to']}")
-    for name in good:
-        ElementTree.SubElement(suite, "testcase", name=name)
-    return ElementTree.tostring(suite, encoding="unicode")
+        to.write(f"<testcase name={quoteattr(r['id'])}><failure message={quoteattr(r['reason'] or f"{r['from']} → {r['to']}")} /></testcase>")
+    for r in c.passing.orderBy("id").toLocalIterator():
+        to.write(f"<testcase name={quoteattr(r['id'])} />")
+    to.write("</testsuite>")
+
+
+def junit(c: Comparison, suite_name: str = "runs") -> str:
+    out = io.StringIO()
+    write_junit(c, out, suite_name)
+    return out.getvalue()
 
 
 def top_changes(diff: DataFrame, outcome: str, n: int = TOP) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relweave.runs.history import entry_time, name_matches
 from relweave.runs.results import STATUSES, is_bad
 
 _CHECKED = ("ok", "mismatch", "failed", "error")
@@ -76,3 +77,13 @@ def run_status(interrupted: Column, planned: Column, executed: Column, bad: Colu
 
 def exit_code(interrupted: Column, bad: Column) -> Column:
     return F.when(interrupted, 130).when(bad > 0, 1).otherwise(0)
+
+
+def tag_list(entries: DataFrame, pattern: str | None = None, sort: str = "updated", limit: int | None = None) -> DataFrame:
+    """``tag, updated, n_runs, n_cases``: tags of history entries with the time of their newest one, newest first (ties and ``sort="name"``: by name)."""
+    if sort not in ("updated", "name"):
+        raise ValueError(f"Unknown sort {sort!r}")
+    own = entries.withColumn("at", entry_time(entries)).filter(F.nullif("tag", F.lit("")).isNotNull() & name_matches(F.col("tag"), pattern))
+    out = own.groupBy("tag").agg(F.max("at").alias("updated"), F.count_distinct("run_id").alias("n_runs"), F.count_distinct("case_id").alias("n_cases"))
+    out = out.orderBy(*([F.desc_nulls_last("updated")] if sort == "updated" else []), "tag")
+    return out.limit(limit) if limit else out

@@ -104,17 +104,38 @@ def embed(model: EmbeddingModel) -> Callable[[Column], Column]:
 
 
 class Store(SemanticBackend):
-    """Rows that a vector store returns: ``metadata map<string,string>, value double``; ``fetch`` gives them for a query and k."""
+    """Rows that a vector store returns: ``metadata map<string,string>, value double``.
 
-    def __init__(self, spark: SparkSession, fetch: Callable[[str, int], DataFrame], *, entity_key: str = "entity", field_key: str = "field", id_keys: Sequence[str] = ("id", "pk"), score_kind: str = "distance") -> None:
+    ``fetch`` gives them for a query and k. With a ``model`` the store is asked by the query's vector instead, through ``fetch_by_vector``;
+    a store that can't be asked so is a `TypeError`.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        fetch: Callable[[str, int], DataFrame] | None = None,
+        *,
+        entity_key: str = "entity",
+        field_key: str = "field",
+        id_keys: Sequence[str] = ("id", "pk"),
+        score_kind: str = "distance",
+        model: EmbeddingModel | None = None,
+        fetch_by_vector: Callable[[list[float], int], DataFrame] | None = None,
+    ) -> None:
         if score_kind not in ("distance", "similarity"):
             raise ValueError(f"Unknown score kind {score_kind!r}")
+        if model is not None and not callable(fetch_by_vector):
+            raise TypeError("a model is given, but the vector store can't be asked by a vector (fetch_by_vector)")
+        if model is None and not callable(fetch):
+            raise TypeError("the vector store can't be asked by a text (fetch), and no model is given")
+        self.model, self.fetch_by_vector = model, fetch_by_vector
         self.spark, self.fetch, self.entity_key, self.field_key, self.id_keys, self.score_kind = spark, fetch, entity_key, field_key, tuple(id_keys), score_kind
 
     def search(self, entity: str, fields: list[str] | str, query: str, top_k: int = 100) -> DataFrame:
         wanted = [fields] if isinstance(fields, str) else list(fields or [])
         meta = lambda k: F.try_element_at("metadata", F.lit(k))
-        own = self.fetch(query, top_k).filter(meta(self.entity_key).isNull() | (meta(self.entity_key) == entity))
+        found = self.fetch(query, top_k) if self.model is None else self.fetch_by_vector(list(self.model.embed_query(query)), top_k)
+        own = found.filter(meta(self.entity_key).isNull() | (meta(self.entity_key) == entity))
         if wanted:
             own = own.filter(meta(self.field_key).isin(wanted))
         score = similarity_from_distance(F.col("value")) if self.score_kind == "distance" else F.col("value")

@@ -13,9 +13,11 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relweave.functions.text import tokens
 from relweave.semantic.base import SemanticBackend
+from relweave.semantic.dense import Dense, EmbeddingModel
 
 ALL = "__all__"
 #: Words that stand for another: fixed values of the product vocabulary.
@@ -89,3 +91,31 @@ class TfIdf(SemanticBackend):
         scores = hits.groupBy("id").agg(F.sum(F.col("q") * F.col("weight")).alias("score")).filter("score > 0")
         return scores.orderBy(F.desc(F.round("score", 12)), "id").limit(top_k)
 
+
+#: An index as one JSON object, the older form; a row has ``vectors`` by field or a single ``vector``.
+LEGACY = "entity string, kind string, fields array<string>, vocab array<string>, idf array<double>, embeddings array<struct<id: string, vector: array<double>, vectors: map<string, array<double>>>>"
+
+
+def read_json_index(spark: SparkSession, path: str, entity: str, id_type: T.DataType | str = "string", synonyms: Mapping[str, str] = SYNONYMS, model: EmbeddingModel | None = None) -> SemanticBackend:
+    """An index in a JSON file: postings of the vectors of ``kind`` tfidf (the default), else `Dense` vectors.
+
+    The vector of all fields is ``__all__``, ``vector`` among the vectors, or the row's single ``vector``, whichever comes first, else zeros; a field that
+    has none of its own uses it. Ids get ``id_type``. A file of another entity is a `ValueError`. One such file is read by one task: write what is
+    returned (`TfIdf.write`) where it is large.
+    """
+    one = spark.read.schema(LEGACY).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    head = one.select("entity", F.coalesce("kind", F.lit("tfidf")).alias("kind"), F.coalesce("fields", F.array().cast("array<string>")).alias("fields")).first()
+    if head is None or head["entity"] != entity:
+        raise ValueError(f"the index in {path} is of {head['entity'] if head else None!r}, not of {entity!r}")
+    rows = one.select("vocab", F.explode("embeddings").alias("e")).select("vocab", F.col("e.id").cast(id_type).alias("id"), "e.vector", "e.vectors")
+    named = lambda f: F.try_element_at("vectors", F.lit(f))
+    zeros = F.transform(F.coalesce("vocab", F.array().cast("array<string>")), lambda _: F.lit(0.0))
+    whole = F.when(F.col("vectors").isNotNull(), F.coalesce(F.when(F.size(named(ALL)) > 0, named(ALL)), named("vector"))).otherwise(F.col("vector"))
+    rows = rows.withColumn("all", F.coalesce(whole, zeros))
+    each = [F.struct(F.lit(f).alias("field"), (F.col("all") if f == ALL else F.coalesce(named(f), F.col("all"))).alias("vector")) for f in [ALL, *head["fields"]]]
+    vectors = rows.select("id", "vocab", F.inline(F.array(*each)))
+    if head["kind"] != "tfidf":
+        return Dense(entity, list(head["fields"]), vectors.select("field", "id", "vector"), model)
+    postings = vectors.select("field", "id", "vocab", F.posexplode("vector").alias("at", "weight")).filter("weight <> 0").select("field", F.get("vocab", "at").alias("token"), "id", "weight")
+    idf = one.select(F.inline(F.arrays_zip("vocab", "idf"))).select(F.col("vocab").alias("token"), "idf")
+    return TfIdf(entity, list(head["fields"]), postings, idf, synonyms)

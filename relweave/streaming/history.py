@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from relweave.functions.text import epoch_seconds
+from relweave.plans.materialize import drop
 from relweave.runs.results import HISTORY
 
 
@@ -26,7 +27,8 @@ def newest(entries: DataFrame) -> DataFrame:
 def follow(stream: DataFrame, snapshot: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Fold new entries into the snapshot table, one version of the table a batch.
 
-    A batch that is repeated after a failure writes the same version again, so its entries count once.
+    A batch that is repeated after a failure writes the same version again from the version before, so its entries count once; older
+    versions are removed.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
@@ -35,6 +37,8 @@ def follow(stream: DataFrame, snapshot: str, checkpoint: str, once: bool = True)
         if number > 0:
             entries = newest(spark.read.parquet(f"{snapshot}/version={number - 1}").unionByName(entries))
         entries.write.mode("overwrite").parquet(f"{snapshot}/version={number}")
+        if number > 1:
+            drop(spark, f"{snapshot}/version={number - 2}")
 
     writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -123,19 +123,21 @@ def test_references_after_the_deletion(spark):
 def test_pieces_in_proportion_to_a_keys_rows(spark, monkeypatch):
     monkeypatch.setattr(skew, "FEW", 10)
     monkeypatch.setattr(skew, "PARTS", 4)
-    refs = spark.range(400).selectExpr("'f' as field", "'p' as parent", "id as row_id", "case when id < 300 then 1 when id < 398 then 2 end as key", "cast(null as timestamp) as seen_at")
+    refs = spark.range(400).selectExpr("'f' as field", "'p' as parent", "id as row_id", "case when id < 300 then 1L when id < 398 then 2L end as key", "cast(null as timestamp) as seen_at")
     assert hot_references(refs) == {"p": {1: 3}}  # 300 rows in parts of 100; 98 are no part
     assert hot_references(refs.limit(0)) == {}
     left = refs.select("row_id", "key")
     right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (7, "e")], "key long, v string")
     counts = left.groupBy("key").count()
     hot = skew.hot_pieces(counts, ["key"], "count")
-    assert [(r["key"], r["pieces"]) for r in hot.collect()] == [(1, 3)]
+    assert [(n, len(h)) for n, h in hot.hashes.items()] == [(4, 1)]  # three pieces, rounded up
     for how in ("inner", "left", "left_semi", "left_anti"):
         a = skew.salted_join(left, right, ["key"], hot, ["row_id"], how)
         b = left.join(right, ["key"], how)
         assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
         assert skew.salted_join(left, right, ["key"], None, ["row_id"], how).count() == b.count()
+    with pytest.raises(TypeError, match="different types"):
+        skew.salted_join(left, right.withColumn("key", F.col("key").cast("int")), ["key"], hot, ["row_id"])
 
 
 # --- rolling totals ---------------------------------------------------------------------------------------------
@@ -446,7 +448,7 @@ def test_agent():
     agent = Agent(lambda f, ctx: plan, synth, {"a": a, "b": b, "c": c}, Packer(50, lambda t: t[:8]), str.upper, saved.__setitem__, (Check(),), baseline=(Baseline(Fetch("c")),), refetch=lambda f, ctx, p: next(again), profile=Profile(lite_context_keys=("c",)))
     assert agent.run("q") == "BETTER" and saved == {"q": "BETTER"}
     assert seen[0] == {"a": "alp", "a#2": "alphaalphaalpha", "b": "beta" * 5, "c": "gamma"}
-    assert seen[1]["issues"] == "[check] error: no"
+    assert seen[1]["issues"] == "check: the draft could not be checked (RuntimeError: no)"
 
 
 def test_agent_without_plan_and_packing():
@@ -484,7 +486,8 @@ def test_catalog_as_provider(spark):
     for example in info.examples:
         assert json.loads(example)["op"] in ("schema", "query", "semantic_only")
     text = catalogue_text({"shop": p, "other": Source("x")})
-    assert "- name: shop" in text and "capabilities: filter, slice" in text and catalogue_text({}) == "(no providers)"
+    cards = [json.loads(line) for line in text.splitlines()]
+    assert [c["source"] for c in cards] == ["shop", "other"] and cards[1]["can"] == ["fetch", "narrow"] and cards[0]["takes"]["oneOf"] and catalogue_text({}) == "There is no source to ask."
     prompt = plan_prompt(Profile(constraints=("c",), focus_hints=("f",)), {"shop": p}, "q", {"k": "v"})
     assert "context_plan" in prompt and "[k]\nv" in prompt
     assert "Accepted if: yes" in synth_prompt(Profile(acceptance_criteria=("yes",)), "q", {}, parse_plan("{}"))
