@@ -81,13 +81,15 @@ def aggregate(spark: SparkSession, name: str) -> Callable[[Column], Column]:
 class Options:
     """What a selector can't say. ``tolerance``: of the soft ``=``; ``null_equal``: null join keys match each other; ``check_cardinality``:
     fail where a relation declared to-one has several matches; ``order_by_key``: sort by the root's key when paging;
-    ``offset_on_root``: filter, order and skip rows of the root before the joins, so that the offset counts root rows."""
+    ``offset_on_root``: filter, order and skip rows of the root before the joins, so that the offset counts root rows; ``push_keys``: where an inner or left join meets a
+    table over a connection, and there are at most so many distinct keys so far, they are sent along as a filter (this asks for the keys first)."""
 
     tolerance: str = "none"
     null_equal: bool = False
     check_cardinality: bool = False
     order_by_key: bool = True
     offset_on_root: bool = False
+    push_keys: int = 0
 
     def __post_init__(self) -> None:
         if self.tolerance not in predicates.TOLERANCES:
@@ -115,6 +117,10 @@ def compile_request(catalog: Catalog, selector: Mapping[str, Any], options: Opti
     request = parse(selector)
     if isinstance(request, SchemaOnly):
         return Compiled(catalog.entities_frame(), kind="schema")
+    kind = "semantic_only" if isinstance(request, SemanticOnly) else "query"
+    if kind in catalog.handlers:
+        frame = catalog.handlers[kind](request)
+        return Compiled(frame, {c: c for c in frame.columns}, kind="matches" if kind == "semantic_only" else "rows", entity=request.entity if kind == "semantic_only" else request.root_entity)
     if isinstance(request, SemanticOnly):
         catalog.entity(request.entity)
         if catalog.semantic is None:
@@ -149,6 +155,10 @@ def join_chain(catalog: Catalog, q: Query, options: Options) -> tuple[DataFrame,
         a, b = F.col(quoted(left.internal(near_col))), F.col(quoted(slot.internal(far_col)))
         if options.check_cardinality:
             check_join(df, table, left.internal(near_col), slot.internal(far_col), r, forward)
+        if options.push_keys and far in catalog.remote and r.join in ("inner", "left") and not options.null_equal:
+            keys = [x[0] for x in df.select(a).filter(a.isNotNull()).distinct().limit(options.push_keys + 1).collect()]
+            if len(keys) <= options.push_keys:
+                table = table.filter(b.isin(keys))
         df = df.join(table, a.eqNullSafe(b) if options.null_equal else a == b, JOINS[r.join])
         scope.joined.append(slot)
     return df, scope

@@ -28,13 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or own
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own below the shared folder, deleted with the cuts."""
+    path = f"{shared_dir(spark)}/relweave-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, label: str = "cut", by: str | None = None) -> DataFrame:
     """Write ``df`` once and return a scan of what was written; ``by`` a column, a filter on which then reads that part only."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/relweave-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -72,8 +72,8 @@ selector("filter_not_in", "select c_custkey, c_name from customer where c_nation
 selector("filter_not_in_nulls", "select order_id, channel from shop_orders where channel not in ('online')", SHOP, root_entity="shop_orders", select=[{"expr": "order_id"}, {"expr": "channel"}], case_sensitivity=True, filters=where("channel", "not_in", ["online"]))
 selector("filter_in_empty", "select c_custkey, c_name from customer where false", root_entity="customer", select=_CUST, filters=where("c_nationkey", "in", []))
 selector("filter_not_in_empty", "select c_custkey, c_name from customer", root_entity="customer", select=_CUST, filters=where("c_nationkey", "not_in", []))
-selector("filter_like_strict", "select c_custkey, c_name from customer where contains(c_name, '000')", root_entity="customer", select=_CUST, case_sensitivity=True, filters=where("c_name", "like", "000"))
-selector("filter_ilike_strict", "select c_custkey, c_name from customer where contains(lower(c_name), 'customer#')", root_entity="customer", select=_CUST, case_sensitivity=True, filters=where("c_name", "ilike", "CUSTOMER#"))
+selector("filter_like_strict", "select c_custkey, c_name from customer where contains(c_name, '#0000001')", root_entity="customer", select=_CUST, case_sensitivity=True, filters=where("c_name", "like", "#0000001"))
+selector("filter_ilike_strict", "select c_custkey, c_name from customer where contains(lower(c_name), 'er#0000001')", root_entity="customer", select=_CUST, case_sensitivity=True, filters=where("c_name", "ilike", "ER#0000001"))
 selector("filter_like_literal_percent", "select doc_id from documents where contains(text, '%')", CORPUS, root_entity="documents", select=[{"expr": "doc_id"}], case_sensitivity=True, filters=where("text", "like", "%"))
 _PART = [{"expr": "p_partkey"}, {"expr": "p_type"}]
 selector("filter_soft_eq", "select p_partkey, p_type from part where lower(trim(p_type)) = 'economy'", root_entity="part", select=_PART, filters=where("p_type", "=", "  ecoNomy "))
@@ -81,6 +81,7 @@ selector("filter_soft_ne", "select p_partkey, p_type from part where lower(trim(
 selector("filter_soft_in", "select p_partkey, p_type from part where lower(p_type) in ('economy', 'small')", root_entity="part", select=_PART, filters=where("p_type", "in", ["Economy", " SMALL"]))
 selector("filter_soft_not_in", "select p_partkey, p_type from part where lower(p_type) not in ('economy', 'small')", root_entity="part", select=_PART, filters=where("p_type", "not_in", ["Economy", " SMALL"]))
 selector("filter_soft_like", "select p_partkey, p_name from part where contains(lower(p_name), 'red wid')", root_entity="part", select=[{"expr": "p_partkey"}, {"expr": "p_name"}], filters=where("p_name", "like", "Red  Wid"))
+selector("filter_soft_like_list", "select p_partkey, p_name from part where contains(lower(p_name), 'gizmo')", root_entity="part", select=[{"expr": "p_partkey"}, {"expr": "p_name"}], filters=where("p_name", "like", ["GIZMO", "widget"]))
 _SPACE = r"[\s\p{Z}\x{85}]+"
 _NORM = rf"lower(regexp_replace(regexp_replace(category, '^{_SPACE}|{_SPACE}$', '', 'g'), '{_SPACE}', ' ', 'g'))"
 selector("filter_soft_spelling", f"select product_id, category from products where {_NORM} = 'kitchenware'", SHOP, root_entity="products", select=[{"expr": "product_id"}, {"expr": "category"}], filters=where("category", "=", "KITCHENWARE"))
@@ -92,7 +93,8 @@ selector(
 )
 add(
     "filter_soft_eq_ratcliff",
-    None,
+    # of all names only this one has a similarity of 0.85 or more; SQL has no such function
+    "select p_partkey, p_name from part where lower(p_name) = 'red widget'",
     lambda spark, sf: execute(
         catalog(spark, sf), {"op": "query", "root_entity": "part", "limit": None, "select": [{"expr": "p_partkey"}, {"expr": "p_name"}], "filters": where("p_name", "=", "red widgt")}, Options(tolerance="ratcliff")
     ),
@@ -221,7 +223,15 @@ add(
 
 selector("offset_limit", "select c_custkey, c_name from customer order by c_custkey limit 20 offset 40", root_entity="customer", select=_CUST, limit=20, offset=40)
 selector("offset_no_limit", "select c_custkey, c_name from customer order by c_custkey offset 40", root_entity="customer", select=_CUST, offset=40)
-selector("default_limit", "select n_nationkey from nation", root_entity="nation", select=[{"expr": "n_nationkey"}], limit=1000)
+add(
+    "default_limit",
+    "select least(count(*), 1000) as n_rows, least(count(*), 1000) as n_keys from customer",
+    lambda spark, sf: execute(catalog(spark, sf), {"op": "query", "root_entity": "customer", "select": [{"expr": "c_custkey"}]}).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("c_custkey").alias("n_keys")),
+)
+selector("offset_far", "select o_orderkey, o_custkey from orders order by o_custkey desc limit 0", root_entity="orders", select=[{"expr": "o_orderkey"}, {"expr": "o_custkey"}], offset=10**9)
+selector(
+    "offset_groups", "select o_custkey, count(*) as count from orders group by 1 order by 1 offset 100", root_entity="orders", group_by=[{"field": "o_custkey"}], offset=100
+)
 
 # --- aggregation ------------------------------------------------------------------------------------------------
 
@@ -236,8 +246,14 @@ for _agg, _expr in (
     ("std", "round(stddev_samp(total_amount), 2)"),
     ("var", "round(var_samp(total_amount), 2)"),
     ("size", "count(*)"),
+    ("quantile", "round(quantile_cont(total_amount, 0.5), 2)"),
+    ("sem", "round(stddev_samp(total_amount) / sqrt(count(total_amount)), 2)"),
+    ("skew", "round(skewness(total_amount), 2)"),
+    ("kurtosis", "round(kurtosis_pop(total_amount), 2)"),
 ):
     selector(f"agg_{_agg}", f"select {_expr} as v from shop_orders", SHOP, rounded=() if _agg in ("count", "count_distinct", "size") else ("v",), root_entity="shop_orders", aggregations=[{"field": "total_amount", "agg": _agg, "alias": "v"}])
+selector("agg_any_value", "select o_orderkey, o_custkey as v from orders", root_entity="orders", group_by=[{"field": "o_orderkey"}], aggregations=[{"field": "o_custkey", "agg": "any_value", "alias": "v"}])
+selector("agg_mode", "select channel as v from shop_orders where channel is not null group by 1 order by count(*) desc, 1 limit 1", SHOP, root_entity="shop_orders", aggregations=[{"field": "channel", "agg": "mode", "alias": "v"}])
 _REV = [{"field": "o_totalprice", "agg": "sum", "alias": "revenue"}, {"field": "o_orderkey", "agg": "count", "alias": "n"}]
 selector("group_one", "select o_orderstatus, round(sum(o_totalprice), 2) as revenue, count(o_orderkey) as n from orders group by 1", rounded=("revenue",), root_entity="orders", group_by=[{"field": "o_orderstatus"}], aggregations=_REV)
 selector("group_two", "select o_orderstatus, o_orderpriority, round(sum(o_totalprice), 2) as revenue, count(o_orderkey) as n from orders group by 1, 2", rounded=("revenue",), root_entity="orders", group_by=[{"field": "o_orderstatus"}, {"field": "o_orderpriority"}], aggregations=_REV)
@@ -377,7 +393,15 @@ def _values(rows: list[tuple], columns: str) -> str:
 
 
 _S = Schema.parse(SUPPLY)
-add("schema_entities", _values([(e.name, e.label, c.name, c.type, c.role, c.semantic) for e in _S.entities for c in e.columns], 'entity, label, "column", type, role, semantic'), lambda spark, sf: execute(catalog(spark, sf), {"op": "schema"}))
+_TYPES = "case when data_type like '%INT%' then 'int' when data_type = 'VARCHAR' then 'text' when data_type in ('DOUBLE', 'FLOAT') then 'float' when data_type like 'TIMESTAMP%' then 'timestamp' else lower(data_type) end"
+add(
+    "schema_entities",
+    f"""select table_name as entity, cast(null as varchar) as label, column_name as "column", {_TYPES} as type,
+ case when column_name in ('r_regionkey', 'c_custkey', 's_suppkey', 'p_partkey', 'o_orderkey', 'event_id') and table_name <> 'lineitem' or table_name || column_name = 'nationn_nationkey' then 'primary_key' end as role,
+ column_name in ('p_name', 'p_type') as semantic
+ from information_schema.columns where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events')""",
+    lambda spark, sf: execute(catalog(spark, sf), {"op": "schema"}),
+)
 add("schema_relations", _values([(r.name, r.from_entity, r.from_column, r.to_entity, r.to_column, r.cardinality, r.join) for r in _S.relations], 'relation, from_entity, from_column, to_entity, to_column, cardinality, "join"'), lambda spark, sf: catalog(spark, sf).relations_frame())
 
 

@@ -139,6 +139,10 @@ class Catalog:
     loaders: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
     semantic: Any = None
     origin: dict[str, str] = field(default_factory=dict)
+    #: Entities whose rows come over a connection, so that a filter sent along saves more than a scan.
+    remote: set[str] = field(default_factory=set)
+    #: A backend's own way to answer a request, by its kind (``query``, ``semantic_only``): from the parsed request to a frame. Else it is compiled.
+    handlers: dict[str, Callable[[Any], DataFrame]] = field(default_factory=dict)
 
     def entity(self, name: str) -> Entity:
         for e in self.schema.entities:
@@ -186,11 +190,13 @@ class Catalog:
         table_name_resolver: Callable[[Entity], str | None] | None = None,
         options: Mapping[str, str] | None = None,
         semantic: Any = None,
+        partitions: int = 1,
     ) -> Catalog:
         """Tables of ``csv``, ``parquet``, ``json`` or ``orc`` files below ``data_dir``, of catalog tables (``table``) or over ``jdbc`` (``options``).
 
         File formats leave out entities without a source. A table's name is what the resolver says, else the stem of a file
-        source, else the source, else the entity's name; ``default_schema`` goes before names without a dot.
+        source, else the source, else the entity's name; ``default_schema`` goes before names without a dot. A ``jdbc`` table with a primary key of
+        integers is read over ``partitions`` connections, by ranges of the key between its least and greatest value, which the database is asked for.
         """
         files = ("csv", "parquet", "json", "orc")
         if format not in (*files, "table", "jdbc"):
@@ -219,13 +225,20 @@ class Catalog:
                     return reader.format(format).load(path)
                 name = table_name(e)
                 if format == "jdbc":
-                    return spark.read.format("jdbc").options(**options).option("dbtable", name).load()
+                    reader = spark.read.format("jdbc").options(**options)
+                    key = next((c.name for c in e.columns if c.name == e.primary_key and c.type in ("int", "integer")), None)
+                    if partitions > 1 and key:
+                        quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).quoteIdentifier(key)
+                        least, most = spark.read.format("jdbc").options(**options).option("query", f"select min({quoted}) as a, max({quoted}) as b from {name}").load().first()
+                        if least is not None:
+                            reader = reader.options(partitionColumn=key, lowerBound=least, upperBound=most + 1, numPartitions=partitions)
+                    return reader.option("dbtable", name).load()
                 return spark.table(".".join(f"`{p}`" for p in name.split(".")))
 
             return load
 
         own = [e for e in schema.entities if e.source or format in ("table", "jdbc")]
-        return cls(spark, schema, {e.name: loader(e) for e in own}, semantic, {e.name: schema.name for e in own})
+        return cls(spark, schema, {e.name: loader(e) for e in own}, semantic, {e.name: schema.name for e in own}, {e.name for e in own} if format == "jdbc" else set())
 
     @classmethod
     def merge(cls, parts: Mapping[str, Catalog]) -> Catalog:
@@ -247,7 +260,8 @@ class Catalog:
                 relations.setdefault(r.name, r)
             for e, load in part.loaders.items():
                 merged.loaders.setdefault(e, load)
-                merged.origin.setdefault(e, name)
+                if merged.origin.setdefault(e, name) == name and e in part.remote:
+                    merged.remote.add(e)
             merged.semantic = merged.semantic or part.semantic
         merged.schema = replace(merged.schema, name="+".join(parts), entities=tuple(entities.values()), relations=tuple(relations.values()))
         return merged

@@ -9,9 +9,28 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The schema of what `commerce` makes, in CSV files.
+SCHEMA = {
+    "name": "commerce",
+    "description": "Customers, products and orders of a made-up store",
+    "entities": [
+        {"name": n, "source": f"{n}.csv", "columns": [{"name": c, "type": t, "pk": i == 0} for i, (c, t) in enumerate(x.split(":") for x in columns.split())], "semantic_text_fields": list(text)}
+        for n, columns, text in (
+            ("customers", "customer_id:int name:text city:text segment:text signup_date:date", ("name", "city")),
+            ("products", "product_id:int name:text category:text price:float in_stock:int", ("name", "category")),
+            ("orders", "order_id:int customer_id:int order_date:date status:text channel:text order_total:float", ()),
+            ("order_items", "order_item_id:int order_id:int product_id:int quantity:int unit_price:float line_total:float", ()),
+        )
+    ],
+    "relations": [
+        {"name": f"{a}_{b}", "from_entity": a, "from_column": c, "to_entity": b, "to_column": c}
+        for a, c, b in (("orders", "customer_id", "customers"), ("order_items", "order_id", "orders"), ("order_items", "product_id", "products"))
+    ],
+}
 CITIES = ("Northport", "Eastvale", "Southmere", "Westfield", "Lakeside")
 SEGMENTS = ("consumer", "corporate", "public")
 CATEGORIES = ("kitchen", "garden", "office", "travel", "sport")
+#: Fixed values.
 STATES = ("pending", "processing", "shipped", "delivered", "cancelled")
 CHANNELS = ("web", "phone", "store")
 
