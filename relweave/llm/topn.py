@@ -13,20 +13,23 @@ from relweave.plans.materialize import materialize
 BANDS = (1 / 64, 1 / 16, 1 / 4)
 
 
-def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, shares: tuple[float, ...] = BANDS) -> DataFrame:
+def top_n(df: DataFrame, group: str, score: str, tie: str, n: int, shares: tuple[float, ...] = BANDS, scores: DataFrame | None = None) -> DataFrame:
     """``group, tie, score, rank``: the first ``n`` rows of each group by score descending, then tie ascending (nulls last).
 
     The scores are range-partitioned into bands. From the top, each band's rows of groups that aren't filled yet (anti-join)
     are ranked exactly, and a group takes as many as it still lacks; equal scores are always in one band. Inside a band a
     task passes on no more than ``n`` rows of a group (the rank limit is applied before the shuffle too), so a group
-    with a third of all rows is not gathered anywhere. Where the bands lie (an approximate quantile) changes the work, not the result.
+    with a third of all rows is not gathered anywhere. Where the bands lie (approximate quantiles of ``scores``, a column of about the same
+    distribution that is cheaper to read, else of ``df``) changes the work, not the result; the rows are written once, by band.
 
     Defined cases: rows with a null group, or a null or NaN score, don't take part; a group with fewer rows gives
     all; repeated rows count as often as they stand; an empty table gives no rows; other columns are not looked at.
     """
     rows = df.select(F.col(group).alias("g"), F.col(score).alias("s"), F.col(tie).alias("t")).filter("g is not null and s is not null and not isnan(cast(s as double))")
-    rows = materialize(rows, "scored")
-    found = rows.agg(F.percentile_approx("s", [1 - s for s in shares], 1000)).first()[0] if shares else None
+    # numbers that aren't one count as the least score here
+    level = F.col((scores if scores is not None else rows).columns[0 if scores is not None else 1])
+    seen = (rows if scores is None else scores).select(F.when(~F.isnan(level.cast("double")), level).alias("s"))
+    found = seen.agg(F.percentile_approx("s", [1 - s for s in shares], 1000)).first()[0] if shares else None
     cuts = sorted(set(found or ()), reverse=True)
     taken: list[DataFrame] = []
     order = Window.partitionBy("g").orderBy(F.desc("s"), F.asc_nulls_last("t"))
