@@ -1,7 +1,7 @@
 """Items that appear together: pair counts by heavy-light decomposition.
 
-* Heavy items (the most frequent ones, at most ``HEAVY``) are the columns of dense bit matrices, one a run of baskets; a
-  pair's count is the popcount of the AND of two columns.
+* Heavy items (those that hold a ``HEAVY``-th of the rows or more, so there are at most ``HEAVY``, however large the table) are the columns of dense
+  bit matrices, one a run of baskets; a pair's count is the popcount of the AND of two columns.
 * Rare pairs are counted by hash, basket by basket. Items too rare to reach ``min_count`` are dropped first, and a large
   basket is cut into blocks of items whose pairs of blocks are separate units of work.
 * Mixed pairs: each rare item's row probes the list of heavy items of its basket.
@@ -22,14 +22,16 @@ from pyspark.sql import types as T
 
 from relweave.plans.materialize import materialize
 
-#: Most heavy items; items of a block of a large basket; least size of a giant basket; baskets of one bit matrix.
-HEAVY, BLOCK, GIANT, MATRIX = 128, 128, 512, 65_536
+#: Parts of all rows of which a heavy item holds one at least; items of a block of a large basket; least size of a giant basket; bits of one matrix, and its most baskets.
+HEAVY, BLOCK, GIANT, BITS, MATRIX = 1024, 128, 512, 1 << 24, 65_536
 
 
 def _popcounts(width: int):
     """Rows (basket, heavy item number) sorted by basket in; counts of pairs of numbers out, one set a matrix."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = min(MATRIX, max(64, BITS // width // 64 * 64))
+
         def pairs(bits: np.ndarray) -> pa.RecordBatch:
             packed = np.packbits(bits, axis=1)
             out = [np.bitwise_count(packed[i] & packed[i + 1 :]).sum(axis=1, dtype=np.int64) for i in range(width)]
@@ -38,19 +40,19 @@ def _popcounts(width: int):
             some = n > 0
             return pa.RecordBatch.from_arrays([pa.array(a[some].astype(np.int32)), pa.array(b[some].astype(np.int32)), pa.array(n[some])], ["a", "b", "n"])
 
-        bits, row, last = np.zeros((width, MATRIX), bool), -1, None
+        bits, row, last = np.zeros((width, size), bool), -1, None
         for batch in batches:
             basket, item = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
             if not len(basket):
                 continue
             new = np.concatenate(([row < 0 or basket[0] != last], basket[1:] != basket[:-1]))
             rows, last = row + np.cumsum(new), basket[-1]
-            while rows[-1] >= MATRIX:
-                now = rows < MATRIX
+            while rows[-1] >= size:
+                now = rows < size
                 bits[item[now], rows[now]] = True
                 yield pairs(bits)
                 bits[:] = False
-                rows, item = rows[~now] - MATRIX, item[~now]
+                rows, item = rows[~now] - size, item[~now]
             bits[item, rows] = True
             row = rows[-1]
         if row >= 0:
@@ -67,11 +69,12 @@ def cooccurring(df: DataFrame, basket: str, item: str, min_count: int = 2, heavy
     Defined cases: rows with a null basket or item don't take part (nor does such a basket count); repeated rows count once;
     a basket of one item has no pairs but counts as a basket; an empty table gives no rows; other columns are not looked at.
     """
-    base = materialize(df.select(F.col(basket).alias("k"), F.col(item).alias("i")).filter("k is not null and i is not null").distinct(), "baskets")
     spark = df.sparkSession
+    base = materialize(df.select(F.col(basket).alias("k"), F.col(item).alias("i")).filter("k is not null and i is not null").distinct(), "baskets")
     n_baskets = base.select("k").distinct().count()
     counts = materialize(base.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count), "counts")
-    top = [r["i"] for r in counts.orderBy(F.desc("n"), "i").limit(heavy).collect()]
+    least = max(1, -(-base.count() // max(1, heavy)))
+    top = [r["i"] for r in counts.filter(F.col("n") >= least).collect()] if heavy else []  # at most `heavy` items hold so many rows each
     number = spark.createDataFrame([(x, j) for j, x in enumerate(sorted(top))], T.StructType([T.StructField("i", base.schema["i"].dataType), T.StructField("j", T.IntegerType())]))
     thick = base.filter(F.col("i").isin(top)).join(F.broadcast(number), "i").select("k", "j")  # at most `heavy` rows are broadcast
     thin = materialize(base.filter(~F.col("i").isin(top)).join(counts.select("i"), "i", "left_semi"), "rare")

@@ -24,14 +24,16 @@ def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p2_pairs(spark, sf).filter("n_ab * n_baskets >= 5 * n_a * n_b").select("product_a", "product_b")
+    # products of two counts can be beyond 64 bits
+    return p2_pairs(spark, sf).filter("cast(n_ab as decimal(18, 0)) * cast(n_baskets as decimal(18, 0)) >= 5 * (cast(n_a as decimal(18, 0)) * cast(n_b as decimal(18, 0)))").select("product_a", "product_b")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    valid = latest(_read(spark, sf, "products"), "product_id", "loaded_at", ["category", "price"])
+    products = _read(spark, sf, "products")
+    valid = latest(products, "product_id", "loaded_at", ["category", "price"])
     name = F.regexp_replace(F.regexp_replace("category", r"(?U)[\s\x1c-\x1f]+", " "), "^ | $", "")
     groups = valid.withColumn("category", F.lower(name)).filter("category != ''")
-    return top_n(groups, "category", "price", "product_id", 5).select("category", "product_id")
+    return top_n(groups, "category", "price", "product_id", 5, scores=products.select("price")).select("category", "product_id")
 
 
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
