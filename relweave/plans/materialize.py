@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -44,6 +45,13 @@ def materialize(df: DataFrame, label: str = "cut", by: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_counts(df: DataFrame, label: str, n: str = "n") -> tuple[DataFrame, int, int]:
+    """`materialize`, with the sum and the greatest value of the column ``n``, seen while the rows are written."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.sum(n).alias("total"), F.max(n).alias("most")), label)
+    return table, seen.get["total"] or 0, seen.get["most"] or 0
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder of any file system; nothing happens if it isn't there."""
     jvm = spark.sparkContext._jvm

@@ -35,12 +35,14 @@ class Hot:
         return out.otherwise(1)
 
 
-def hot_pieces(counts: DataFrame, keys: list[str], n: str = "n", total: int | None = None) -> Hot | None:
+def hot_pieces(counts: DataFrame, keys: list[str], n: str = "n", total: int | None = None, most: int | None = None) -> Hot | None:
     """The keys that hold more than one part of the rows, with a piece for each part that they hold; none where no key is hot.
 
     There are fewer hot keys than parts, whatever the data. ``counts``: rows ``n`` by ``keys``, not necessarily of all keys;
-    ``total``: the rows of all keys, else the sum of ``n``.
+    ``total``: the rows of all keys, else the sum of ``n``; ``most``: the greatest ``n`` if known, which may tell at once that no key is hot.
     """
+    if most is not None and most <= FEW:
+        return None
     return Hot.of(hot_rows(counts, keys, n, total), keys)
 
 
