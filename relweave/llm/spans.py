@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relweave.plans.materialize import materialize
+from relweave.plans.materialize import materialize, materialize_counts
 from relweave.plans.partitioning import spread
 from relweave.plans.skew import Hot, hot_pieces, salted_join
 
@@ -184,10 +184,10 @@ def _shared(texts: DataFrame, k: int, g: int, seed: int, mask: int) -> DataFrame
     runs = materialize(spread(texts).mapInArrow(_cutter(k, g, seed, mask), schema), "runs")
 
     ends = [F.min("doc").alias("a"), F.max("doc").alias("b")]
-    anchors = materialize(runs.groupBy("anchor").agg(*ends, F.count(F.lit(1)).alias("c")).filter("a < b").select("anchor", "c"), "anchors")
-    near = materialize(salted_join(runs, anchors.select("anchor"), ["anchor"], hot_pieces(anchors, ["anchor"], "c"), ["doc", "first"], "left_semi"), "near")
-    edges = materialize(near.groupBy(_KEY).agg(*ends, F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "rid", "first")).alias("at")), "edges")
-    hot = hot_pieces(edges, _KEY, "c")
+    anchors, *sizes = materialize_counts(runs.groupBy("anchor").agg(*ends, F.count(F.lit(1)).alias("c")).filter("a < b").select("anchor", "c"), "anchors", "c")
+    near = materialize(salted_join(runs, anchors.select("anchor"), ["anchor"], hot_pieces(anchors, ["anchor"], "c", *sizes), ["doc", "first"], "left_semi"), "near")
+    edges, *sizes = materialize_counts(near.groupBy(_KEY).agg(*ends, F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "rid", "first")).alias("at")), "edges", "c")
+    hot = hot_pieces(edges, _KEY, "c", *sizes)
 
     paths = _paths(near, edges.filter("a < b"), hot)
     forks = edges.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("anchor")
@@ -195,10 +195,7 @@ def _shared(texts: DataFrame, k: int, g: int, seed: int, mask: int) -> DataFrame
     # paths go in pieces, so that no cut is longer than a piece
     piece = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE).cast("int")))
     pieces = paths.select("doc", "rid", "s", piece.alias("piece"), *_KEY).select("doc", "rid", (F.col("s") + F.col("piece") * PIECE).alias("s"), "piece", *_KEY, F.lit(None).cast(kind).alias("a"), F.lit(None).cast(kind).alias("b"))
-    cuts = _cut(texts, materialize(pieces.unionByName(branches), "places"), k)
-
-    whole = cuts.filter("piece >= 0")
-    _same(whole.groupBy(*_KEY, "piece").agg(F.min("cut").alias("x"), F.max("cut").alias("y"), F.count_if(F.col("cut").isNull()).alias("lost")), "paths")
+    cuts = _cut(texts, pieces.unionByName(branches), k)
 
     def print_of(w: str) -> list[Column]:
         return [F.xxhash64(F.lit(seed + i), F.lit(k), w).bitwiseAND(F.lit(mask)).alias(c) for i, c in enumerate("xy")]
@@ -206,10 +203,13 @@ def _shared(texts: DataFrame, k: int, g: int, seed: int, mask: int) -> DataFrame
     # every run has a bounded length (at most k - g + 1 windows), so a branch splits into a bounded number of windows
     split = cuts.filter("piece < 0").select(*_KEY, "a", "b", "cut", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("w", F.substring("cut", F.col("i") + 1, F.lit(k)))
     windows = materialize(split.select(*_KEY, "a", "b", "i", *print_of("w"), "w"), "windows")
-    twice = materialize(windows.groupBy("x", "y").agg(F.min("a").alias("a2"), F.max("b").alias("b2"), F.count(F.lit(1)).alias("c")).filter("a2 < b2").select("x", "y", "c"), "twice")
-    busy = hot_pieces(twice, ["x", "y"], "c")
+    twice, *sizes = materialize_counts(windows.groupBy("x", "y").agg(F.min("a").alias("a2"), F.max("b").alias("b2"), F.count(F.lit(1)).alias("c")).filter("a2 < b2").select("x", "y", "c"), "twice", "c")
+    busy = hot_pieces(twice, ["x", "y"], "c", *sizes)
     equal = salted_join(windows.select("x", "y", "w", "anchor", "i"), twice.select("x", "y"), ["x", "y"], busy, ["anchor", "i"], "left_semi")
-    _same(equal.groupBy("x", "y").agg(F.min("w").alias("x1"), F.max("w").alias("y1"), F.count_if(F.col("w").isNull()).alias("lost")).select(F.col("x1").alias("x"), F.col("y1").alias("y"), "lost"), "windows")
+    texts_of = lambda c: [F.min(c).alias("least"), F.max(c).alias("most"), F.count_if(F.col(c).isNull()).alias("lost")]
+    verified = cuts.filter("piece >= 0").groupBy(*_KEY, "piece").agg(*texts_of("cut")).select("least", "most", "lost").unionByName(equal.groupBy("x", "y").agg(*texts_of("w")).select("least", "most", "lost"))
+    if verified.agg(F.count_if(F.expr("lost > 0 or least <> most"))).first()[0]:  # one pass over all groups at once
+        raise Clash("paths or windows with one fingerprint have different texts")
     part = salted_join(windows.filter("a = b").drop("w"), twice.select("x", "y"), ["x", "y"], busy, ["anchor", "i"], "left_semi").select(*_KEY, "i").distinct()
     order = Window.partitionBy(_KEY).orderBy("i")  # at most k - g + 1 rows each
     part = part.withColumn("island", F.col("i") - F.row_number().over(order)).groupBy(*_KEY, "island").agg(F.min("i").alias("i"), F.max("i").alias("j")).drop("island")
@@ -233,9 +233,8 @@ def _paths(near: DataFrame, repeated: DataFrame, hot: Hot | None) -> DataFrame:
         F.when(F.lag(F.col("first") + F.col("n")).over(along) == F.col("first"), F.lag(name).over(along)).alias("before"),
         F.when(F.lead("first").over(along) == F.col("first") + F.col("n"), F.lead(name).over(along)).alias("after"),
     )
-    links = materialize(links, "links")
     same = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1))), F.min(c)).alias(c)
-    nodes = materialize(links.groupBy(_KEY).agg(same("before"), same("after")).withColumn("name", name), "nodes")
+    nodes = links.groupBy(_KEY).agg(same("before"), same("after")).withColumn("name", name)
     inner = nodes.select(F.col("name").alias("before"), F.col("after").alias("name")).filter("name is not null")
     joined = nodes.select("name", "before", *_KEY).filter("before is not null").join(inner, ["name", "before"], "left_semi").select(*_KEY, F.lit(False).alias("begins"))
     marked = salted_join(links.drop("before", "after"), joined, _KEY, hot, ["doc", "first"], "left")
@@ -263,12 +262,6 @@ def _cut(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
     return materialize(met.select(*places.columns, F.when(F.length(cut) == F.col("windows") + k - 1, cut).alias("cut")), "cuts")
 
 
-def _same(groups: DataFrame, what: str) -> None:
-    """`Clash` unless least (``x``) and greatest text (``y``) are the same in all groups and none is ``lost``."""
-    if not groups.filter("lost > 0 or x <> y").isEmpty():
-        raise Clash(f"{what} with one fingerprint have different texts")
-
-
 def shared_amounts(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, shared_chars, share`` of every document, 0 where nothing is shared; the share of a null or empty text is 0."""
     total = spans.groupBy(F.col(id_col).alias("__d")).agg(F.sum(F.col("span_end") - F.col("span_start")).alias("__s"))
