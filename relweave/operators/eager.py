@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def eager_join_aggregate(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None, sums: dict[str, str] | None = None, how: str = "left") -> DataFrame:
+def eager_join_aggregate(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None, sums: dict[str, str] | None = None, how: str = "left", right_sums: dict[str, str] | None = None) -> DataFrame:
     """What ``left JOIN right ON key GROUP BY key`` gives, without the join of rows.
 
-    ``sums``: output name to a SQL expression over ``left`` that gives an integer or decimal. Result: ``key_value``,
+    ``sums`` and ``right_sums``: output name to a SQL expression over ``left`` or ``right`` that gives an integer or decimal. Result: ``key_value``,
     ``n_left`` and ``n_right`` (rows of each side), ``n_joined`` (rows of the join) and each sum over the rows
-    of the join. ``how``: ``inner`` or ``left``.
+    of the join: a side's own sum times the rows that the other side has. ``how``: ``inner`` or ``left``.
 
     Defined cases: rows with a null key form one state with a null ``key_value`` that joins nothing (``left``
     keeps it, ``inner`` drops it); repeated rows count as they stand; a sum over nulls only is null; an
@@ -25,10 +25,11 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, key: str, right_key:
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be inner or left, not {how!r}")
-    sums = sums or {}
+    sums, right_sums = sums or {}, right_sums or {}
     own = left.select(F.col(key).alias("__k"), *[F.expr(e).alias(f"__s{i}") for i, e in enumerate(sums.values())])
     a = own.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"), *[F.sum(f"__s{i}").alias(f"__s{i}") for i in range(len(sums))])
-    b = right.select(F.col(right_key or key).alias("__rk")).filter("__rk is not null").groupBy("__rk").agg(F.count(F.lit(1)).alias("__m"))
+    other = right.select(F.col(right_key or key).alias("__rk"), *[F.expr(e).alias(f"__r{i}") for i, e in enumerate(right_sums.values())]).filter("__rk is not null")
+    b = other.groupBy("__rk").agg(F.count(F.lit(1)).alias("__m"), *[F.sum(f"__r{i}").alias(f"__r{i}") for i in range(len(right_sums))])
     times = F.coalesce("__m", F.lit(1)) if how == "left" else F.col("__m")
     return a.join(b, a["__k"] == b["__rk"], how).select(
         F.col("__k").alias("key_value"),
@@ -36,6 +37,7 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, key: str, right_key:
         F.coalesce("__m", F.lit(0)).alias("n_right"),
         (F.col("__n") * times).alias("n_joined"),
         *[(F.col(f"__s{i}") * times).alias(name) for i, name in enumerate(sums)],
+        *[(F.col(f"__r{i}") * F.col("__n")).alias(name) for i, name in enumerate(right_sums)],
     )
 
 

@@ -118,6 +118,13 @@ def source_jdbc(spark: SparkSession, sf: str) -> DataFrame:
     return execute(Catalog.merge({"files": local, "database": remote}), request, Options(push_keys=50_000))
 
 
+@query("select n_name as name, n_regionkey as region from nation where n_regionkey = 2")
+def source_backend(spark: SparkSession, sf: str) -> DataFrame:
+    """A backend that answers queries in a way of its own."""
+    c = Catalog(spark, _only("nation"), handlers={"query": lambda request: _read(spark, sf, request.root_entity).filter(F.col(request.filters.field) == request.filters.value).select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))})
+    return execute(c, {"op": "query", "root_entity": "nation", "filters": relational.where("n_regionkey", "=", 2)})
+
+
 _TYPES = "case when data_type like '%INT%' then 'int' when data_type = 'VARCHAR' then 'text' when data_type in ('DOUBLE', 'FLOAT') then 'float' when data_type like 'TIMESTAMP%' then 'timestamp' else lower(data_type) end"
 
 

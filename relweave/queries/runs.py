@@ -10,7 +10,7 @@ from relweave.functions.text import answer_check, norm, similarity_from_distance
 from relweave.plans.partitioning import spread
 from relweave.runs import compare, history, summary
 from relweave.runs.results import bad_statuses
-from relweave.sources.generate import check_commerce, commerce, order_stats
+from relweave.sources.generate import CHANNELS, STATES, check_commerce, commerce, order_stats
 
 STATUS = {"view": "ok", "purchase": "ok", "click": "mismatch", "error": "error"}
 _CASE = " ".join(f"when '{k}' then '{v}'" for k, v in STATUS.items())
@@ -24,6 +24,11 @@ with e as (select event_id % 7 as run, event_id % 500 as id, case event_type {_C
 """
 
 
+def _draw(salt: str, n: str) -> str:
+    """A generated value in SQL: the first 15 digits of the MD5 of seed, column and key."""
+    return f"(cast('0x' || substr(md5('42|{salt}|' || id), 1, 15) as bigint) % {n})"
+
+
 def results(spark: SparkSession, sf: str) -> DataFrame:
     status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in STATUS.items() for x in p]), F.col("event_type")), F.lit("unchecked"))
     e = spark.read.parquet(f"{sf}/events.parquet").select((F.col("event_id") % 7).alias("run"), (F.col("event_id") % 500).alias("id"), status.alias("status"), "event_id", "ts", "value")
@@ -142,10 +147,11 @@ def json_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def generated(spark: SparkSession, sf: str) -> DataFrame:
-    t = commerce(spark, 1000)
-    check_commerce(t, 1000)
-    items = t["order_items"].groupBy("order_id").agg(F.round(F.sum("line_total"), 2).alias("s"))
-    return t["orders"].join(items, "order_id").agg(F.count(F.lit(1)).alias("n_orders"), F.count_if(F.abs(F.col("s") - F.col("order_total")) < 0.005).alias("n_right"))
+    """As many orders as there are customers in the test tables."""
+    n = spark.read.parquet(f"{sf}/customer.parquet").count()
+    t = commerce(spark, n)
+    check_commerce(t, n)
+    return t["orders"].select("order_id", "customer_id", F.date_format("order_date", "yyyy-MM-dd").alias("order_date"), "status", "channel", "order_total")
 
 
 _DIFF = """, d as (select coalesce(b.id, n.id) as id, b.status as bs, n.status as ns,
@@ -239,5 +245,12 @@ SQL = {
     "answer_check": "select doc_id, case when text is null then case doc_id % 4 when 1 then 'none' when 2 then 'none' end else case doc_id % 4 when 0 then 'exact' when 1 then 'regex' when 2 then 'contains' end end as mode, case when text is null then case when doc_id % 4 in (1, 2) then false end else case doc_id % 4 when 0 then true when 1 then regexp_matches(text, '[0-9]{4}') when 2 then contains(text, 'every') end end as passed from documents",
     "dataset_stats": 'select status as value, count(*) as n_rows, min(order_date) as "first", max(order_date) as "last" from shop_orders group by 1',
     "json_extract_props": "select event_id % 5 as damage, count(*) as n, count(*) as same from events where props is not null group by 1",
-    "generated_commerce": "select cast(1000 as bigint) as n_orders, cast(1000 as bigint) as n_right",
+    "generated_commerce": f"""with n as (select count(*) n, greatest(200, count(*) // 3) p from customer),
+ o as (select unnest(generate_series(1, n)) id, n, p from n),
+ l as (select id, p, unnest(generate_series(1, {_draw('lines', '5')} + 1)) line from o), i as (select id as o, p, id * 5 + line - 5 as id from l),
+ x as (select o, {_draw('product', 'p')} + 1 as product, {_draw('quantity', '4')} + 1 as q from i),
+ y as (select o, q, product as id from x), z as (select o, round(q * ((({_draw('price', '49500')}) + 500) / 100), 2) as v from y),
+ s as (select o, round(sum(v), 2) as order_total from z group by o)
+ select id as order_id, {_draw('buyer', 'n')} + 1 as customer_id, strftime(date '2023-01-01' + cast({_draw('day', '730')} as int), '%Y-%m-%d') as order_date,
+  {list(STATES)}[cast({_draw('status', '5')} + 1 as int)] as status, {list(CHANNELS)}[cast({_draw('channel', '3')} + 1 as int)] as channel, order_total from o join s on o = id""",
 }

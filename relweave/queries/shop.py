@@ -25,8 +25,8 @@ def key_states(spark: SparkSession, sf: str) -> DataFrame:
     """Per-key results of every product and customer, joined with the states of the parent's rows."""
     line = "cast(round(quantity * unit_price * 100) as long)"
     total = "case when isnan(total_amount) then null else cast(round(total_amount * 100) as long) end"
-    items = eager_join_aggregate(_read(spark, sf, "order_items"), _read(spark, sf, "products"), "product_id", sums={"units": "quantity", "amount_cents": line})
-    orders = eager_join_aggregate(_read(spark, sf, "shop_orders"), _read(spark, sf, "customers"), "customer_id", sums={"units": "cast(null as long)", "amount_cents": total})
+    items = eager_join_aggregate(_read(spark, sf, "order_items"), _read(spark, sf, "products"), "product_id", sums={"units": "quantity", "amount_cents": line}, right_sums={"right_total": "in_stock"})
+    orders = eager_join_aggregate(_read(spark, sf, "shop_orders"), _read(spark, sf, "customers"), "customer_id", sums={"units": "cast(null as long)", "amount_cents": total}, right_sums={"right_total": "length(name)"})
     return items.withColumn("field", F.lit("order_items.product_id")).unionByName(orders.withColumn("field", F.lit("shop_orders.customer_id")))
 
 
@@ -37,7 +37,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_key_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return key_states(spark, sf).select("field", "key_value", "n_left", "n_right", "n_joined", "units", "amount_cents")
+    return key_states(spark, sf).select("field", "key_value", "n_left", "n_right", "n_joined", "units", "amount_cents", F.col("right_total").cast("long").alias("right_total"))
 
 
 P1_FOUND = """
@@ -49,14 +49,14 @@ where key_value is not null group by field, key_value, n having count(*) * 100 >
 P1_KEY_TOTALS = """
 with i as (select product_id k, quantity q, cast(round(quantity * unit_price * 100) as bigint) c from order_items),
  o as (select customer_id k, cast(round(total_amount * 100) as bigint) c from shop_orders),
- jp as (select i.*, p.product_id m from i left join products p on p.product_id = i.k),
- jc as (select o.*, p.customer_id m from o left join customers p on p.customer_id = o.k),
+ jp as (select i.*, p.product_id m, p.in_stock r from i left join products p on p.product_id = i.k),
+ jc as (select o.*, p.customer_id m, length(p.name) r from o left join customers p on p.customer_id = o.k),
  ni as (select k, count(*) n from i group by k), no as (select k, count(*) n from o group by k),
- gi as (select k, count(*) n_joined, count(m) hits, cast(sum(q) as bigint) units, cast(sum(c) as bigint) amount_cents from jp group by k),
- go as (select k, count(*) n_joined, count(m) hits, cast(null as bigint) units, cast(sum(c) as bigint) amount_cents from jc group by k)
-select 'order_items.product_id' as field, g.k as key_value, n.n as n_left, cast(hits // n.n as bigint) as n_right, n_joined, units, amount_cents
+ gi as (select k, count(*) n_joined, count(m) hits, cast(sum(q) as bigint) units, cast(sum(c) as bigint) amount_cents, cast(sum(r) as bigint) right_total from jp group by k),
+ go as (select k, count(*) n_joined, count(m) hits, cast(null as bigint) units, cast(sum(c) as bigint) amount_cents, cast(sum(r) as bigint) right_total from jc group by k)
+select 'order_items.product_id' as field, g.k as key_value, n.n as n_left, cast(hits // n.n as bigint) as n_right, n_joined, units, amount_cents, right_total
 from gi g join ni n on g.k is not distinct from n.k
-union all select 'shop_orders.customer_id', g.k, n.n, cast(hits // n.n as bigint), n_joined, units, amount_cents
+union all select 'shop_orders.customer_id', g.k, n.n, cast(hits // n.n as bigint), n_joined, units, amount_cents, right_total
 from go g join no n on g.k is not distinct from n.k"""
 
 

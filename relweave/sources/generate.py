@@ -38,11 +38,13 @@ CHANNELS = ("web", "phone", "store")
 def commerce(spark: SparkSession, rows: int = 1000, seed: int = 42) -> dict[str, DataFrame]:
     """``customers, products, orders, order_items``; an order's total is the rounded sum of its lines.
 
-    Every value is a hash of its key and the seed, so the tables are the same whatever the number of partitions.
+    Every value is drawn from the MD5 of seed, column and key (its first 15 hexadecimal digits), so the tables are the same whatever the
+    number of partitions, and on any other engine.
     """
 
     def draw(salt: str, n: int, key: str = "id"):
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key)), F.lit(n))
+        digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(salt), F.col(key).cast("string"))), 1, 15)
+        return F.conv(digits, 16, 10).cast("long") % n
 
     def pick(values: tuple[str, ...], salt: str):
         return F.element_at(F.array(*map(F.lit, values)), (draw(salt, len(values)) + 1).cast("int"))
