@@ -189,39 +189,48 @@ def _shared(texts: DataFrame, k: int, g: int, seed: int, mask: int) -> DataFrame
     edges, *sizes = materialize_counts(near.groupBy(_KEY).agg(*ends, F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "rid", "first")).alias("at")), "edges", "c")
     hot = hot_pieces(edges, _KEY, "c", *sizes)
 
-    paths = _paths(near, edges.filter("a < b"), hot)
+    paths = _paths(near, edges.filter("a < b"), hot, k)
     forks = edges.groupBy("anchor").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("anchor")
-    branches = edges.join(forks, "anchor", "left_semi").select("at.doc", "at.rid", F.col("at.first").alias("s"), F.lit(-1).alias("piece"), *_KEY, "a", "b")
-    # paths go in pieces, so that no cut is longer than a piece
-    piece = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE).cast("int")))
-    pieces = paths.select("doc", "rid", "s", piece.alias("piece"), *_KEY).select("doc", "rid", (F.col("s") + F.col("piece") * PIECE).alias("s"), "piece", *_KEY, F.lit(None).cast(kind).alias("a"), F.lit(None).cast(kind).alias("b"))
-    cuts = _cut(texts, pieces.unionByName(branches), k)
+    branches = edges.join(forks, "anchor", "left_semi").select("at.doc", "at.rid", F.col("at.first").alias("s"), F.lit(-1).alias("piece"), F.col("n").alias("w"), *_KEY, "a", "b")
+
+    def pieces(df: DataFrame, windows: Column) -> DataFrame:
+        """Paths in pieces of ``w`` windows, so that no cut is longer than a piece."""
+        number = F.explode(F.sequence(F.lit(0), F.floor((windows - 1) / PIECE).cast("int")))
+        each = df.select("doc", "rid", "s", number.alias("piece"), windows.alias("all"), *_KEY)
+        return each.select("doc", "rid", (F.col("s") + F.col("piece") * PIECE).alias("s"), "piece", F.least(F.lit(PIECE), F.col("all") - F.col("piece") * PIECE).alias("w"), *_KEY, *[F.lit(None).cast(kind).alias(c) for c in "ab"])
+
+    # the first of an occurrence's repetitions stands for all, as the text of them all has the path's length as its period
+    again = pieces(paths.filter("times > 1"), F.col("n") * F.col("times")).withColumn("piece", F.lit(-2))
+    cuts = _cut(texts, pieces(paths, F.col("n")).unionByName(again).unionByName(branches), k)
 
     def print_of(w: str) -> list[Column]:
         return [F.xxhash64(F.lit(seed + i), F.lit(k), w).bitwiseAND(F.lit(mask)).alias(c) for i, c in enumerate("xy")]
 
     # every run has a bounded length (at most k - g + 1 windows), so a branch splits into a bounded number of windows
-    split = cuts.filter("piece < 0").select(*_KEY, "a", "b", "cut", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("w", F.substring("cut", F.col("i") + 1, F.lit(k)))
+    split = cuts.filter("piece = -1").select(*_KEY, "a", "b", "cut", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("w", F.substring("cut", F.col("i") + 1, F.lit(k)))
     windows = materialize(split.select(*_KEY, "a", "b", "i", *print_of("w"), "w"), "windows")
     twice, *sizes = materialize_counts(windows.groupBy("x", "y").agg(F.min("a").alias("a2"), F.max("b").alias("b2"), F.count(F.lit(1)).alias("c")).filter("a2 < b2").select("x", "y", "c"), "twice", "c")
     busy = hot_pieces(twice, ["x", "y"], "c", *sizes)
     equal = salted_join(windows.select("x", "y", "w", "anchor", "i"), twice.select("x", "y"), ["x", "y"], busy, ["anchor", "i"], "left_semi")
     texts_of = lambda c: [F.min(c).alias("least"), F.max(c).alias("most"), F.count_if(F.col(c).isNull()).alias("lost")]
     verified = cuts.filter("piece >= 0").groupBy(*_KEY, "piece").agg(*texts_of("cut")).select("least", "most", "lost").unionByName(equal.groupBy("x", "y").agg(*texts_of("w")).select("least", "most", "lost"))
+    period = [F.expr("substring(cut, 1, length(cut) - n)").alias("least"), F.expr("substring(cut, n + 1)").alias("most"), F.col("cut").isNull().cast("long").alias("lost")]
+    verified = verified.unionByName(cuts.filter("piece = -2").select(*period))
     if verified.agg(F.count_if(F.expr("lost > 0 or least <> most"))).first()[0]:  # one pass over all groups at once
         raise Clash("paths or windows with one fingerprint have different texts")
     part = salted_join(windows.filter("a = b").drop("w"), twice.select("x", "y"), ["x", "y"], busy, ["anchor", "i"], "left_semi").select(*_KEY, "i").distinct()
     order = Window.partitionBy(_KEY).orderBy("i")  # at most k - g + 1 rows each
     part = part.withColumn("island", F.col("i") - F.row_number().over(order)).groupBy(*_KEY, "island").agg(F.min("i").alias("i"), F.max("i").alias("j")).drop("island")
     inside = salted_join(near, part, _KEY, hot, ["doc", "first"])
-    return paths.select("doc", "s", (F.col("s") + F.col("n") - 1 + k).alias("e")).unionByName(inside.select("doc", (F.col("first") + F.col("i")).alias("s"), (F.col("first") + F.col("j") + k).alias("e")))
+    return paths.select("doc", "s", (F.col("s") + F.col("n") * F.col("times") - 1 + k).alias("e")).unionByName(inside.select("doc", (F.col("first") + F.col("i")).alias("s"), (F.col("first") + F.col("j") + k).alias("e")))
 
 
-def _paths(near: DataFrame, repeated: DataFrame, hot: Hot | None) -> DataFrame:
-    """``doc, rid, s, anchor, hi, lo, n``: the occurrences of compacted paths, named by their first run; ``n`` windows from ``s`` on.
+def _paths(near: DataFrame, repeated: DataFrame, hot: Hot | None, k: int) -> DataFrame:
+    """``doc, rid, s, anchor, hi, lo, n, times``: the occurrences of compacted paths, named by their first run; ``n`` windows from ``s`` on, ``times`` times in a row.
 
     A repeated run begins a path unless all its occurrences follow one and the same repeated run which nothing else follows. Going along
-    a document, each run that begins none is joined to the one before; so all copies of a path are cut alike.
+    a document, each run that begins none is joined to the one before; so all copies of a path are cut alike. Short paths that follow themselves
+    (a character repeated a million times is one) are put together.
     """
     own = salted_join(near, repeated.select(_KEY), _KEY, hot, ["doc", "first"], "left_semi").select("doc", "rid", "first", *_KEY)
     along = Window.partitionBy("doc", "rid").orderBy("first")
@@ -240,11 +249,14 @@ def _paths(near: DataFrame, repeated: DataFrame, hot: Hot | None) -> DataFrame:
     marked = salted_join(links.drop("before", "after"), joined, _KEY, hot, ["doc", "first"], "left")
     marked = marked.repartition("doc", "rid").withColumn("path", F.count_if(F.coalesce("begins", F.lit(True))).over(along))
     one = marked.groupBy("doc", "rid", "path").agg(F.min("first").alias("s"), F.sum("n").cast("int").alias("n"), F.min_by(F.struct("anchor", "hi", "lo"), "first").alias("head"))
-    return materialize(one.select("doc", "rid", "s", "head.anchor", "head.hi", "head.lo", "n"), "paths")
+    on = Window.partitionBy("doc", "rid").orderBy("s")
+    follows = (F.col("n") < k) & (F.lag(F.struct("head", F.col("s") + F.col("n"), "n")).over(on) == F.struct("head", "s", "n"))
+    one = one.withColumn("row", F.count_if(~F.coalesce(follows, F.lit(False))).over(on)).groupBy("doc", "rid", "row", "head", "n").agg(F.min("s").alias("s"), F.count(F.lit(1)).cast("int").alias("times"))
+    return materialize(one.select("doc", "rid", "s", "head.anchor", "head.hi", "head.lo", "n", "times"), "paths")
 
 
 def _cut(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """``places`` (``doc, rid, s, piece, n, ...``) with their text ``cut``, n + k - 1 code points from ``s`` on, at most of a piece.
+    """``places`` (``doc, rid, s, w, ...``) with their text ``cut``: w + k - 1 code points from ``s`` on, w at most a piece.
 
     Only the texts of documents that have places are moved. Which these are is told by a bit map of hashed ids: a table of at most
     ``MAP_BITS / 64`` rows whatever the corpus, so it can be broadcast; an id that shares its bit moves a text in vain.
@@ -256,10 +268,9 @@ def _cut(texts: DataFrame, places: DataFrame, k: int) -> DataFrame:
     # a long text goes in blocks, since finding a position takes time in proportion to it
     last = F.floor((F.length("text") - 1) / BLOCK).cast("int")
     blocks = own.select("doc", "rid", "text", F.explode(F.sequence(F.lit(0), last)).alias("block")).select("doc", "rid", "block", F.expr(f"substring(text, block * {BLOCK} + 1, {BLOCK + PIECE + k})").alias("part"))
-    windows = F.when(F.col("piece") < 0, F.col("n")).otherwise(F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE))
-    met = places.withColumn("block", F.floor(F.col("s") / BLOCK).cast("int")).withColumn("windows", windows).join(blocks, ["doc", "rid", "block"], "left")
-    cut = F.expr(f"substring(part, s - block * {BLOCK} + 1, windows + {k - 1})")
-    return materialize(met.select(*places.columns, F.when(F.length(cut) == F.col("windows") + k - 1, cut).alias("cut")), "cuts")
+    met = places.withColumn("block", F.floor(F.col("s") / BLOCK).cast("int")).join(blocks, ["doc", "rid", "block"], "left")
+    cut = F.expr(f"substring(part, s - block * {BLOCK} + 1, w + {k - 1})")
+    return materialize(met.select(*places.columns, F.when(F.length(cut) == F.col("w") + k - 1, cut).alias("cut")), "cuts")
 
 
 def shared_amounts(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

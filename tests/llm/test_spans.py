@@ -139,7 +139,7 @@ def path_rows(spark, docs, k, g=None):
         S._shared(df, k, g or k // 2, 0, -1).count()
     finally:
         S._paths = paths
-    return sorted(tuple(r) for r in seen[0].select("doc", "s", "n").collect())
+    return sorted((r["doc"], r["s"], r["n"] * r["times"]) for r in seen[0].select("doc", "s", "n", "times").collect())
 
 
 def test_runs_are_joined_to_paths(spark):
@@ -162,6 +162,17 @@ def test_runs_are_joined_to_paths(spark):
     assert {(d, sum(n for e, _, n in rows if e == d)) for d, _, _ in rows} == {(1, len(loop) - 39), (2, len(loop) - 39)}
 
 
+def test_paths_that_follow_themselves(spark, monkeypatch):
+    docs = [(1, "b" + "a" * 700), (2, "a" * 500 + "c"), (3, "xyz" * 150 + "q"), (4, "zxyzx" + "xyz" * 90), (5, "a" * 30), (6, "no" * 9)]
+    rows = path_rows(spark, docs, 20)
+    assert sum(n for d, _, n in rows if d == 1) == 681 and len([r for r in rows if r[0] == 1]) <= 3 and len([r for r in rows if r[0] == 3]) <= 6
+    want = brute(docs, 20)
+    assert run(spark, docs, 20) == want
+    monkeypatch.setattr(S, "PIECE", 32)
+    monkeypatch.setattr(S, "BLOCK", 50)
+    assert run(spark, docs, 20) == want
+
+
 def test_paths_longer_than_a_piece_and_a_block(spark, monkeypatch):
     rnd = random.Random(29)
     noise = lambda m: "".join(rnd.choice("abcdefghijklmnop🙂") for _ in range(m))
@@ -177,10 +188,10 @@ def test_only_texts_that_are_needed_are_cut(spark):
     rnd = random.Random(37)
     noise = lambda m: "".join(rnd.choice("abcdefghijklmnop") for _ in range(m))
     texts = spark.createDataFrame([(i, noise(100)) for i in range(300)], "doc long, text string").selectExpr("doc", "xxhash64(text) as rid", "text")
-    places = texts.filter("doc % 100 = 7").selectExpr("doc", "rid", "5 as s", "-1 as piece", "1L as anchor", "1L as hi", "1L as lo", "3 as n")
+    places = texts.filter("doc % 100 = 7").selectExpr("doc", "rid", "5 as s", "3 as w", "1L as anchor")
     cuts = S._cut(texts, places, 20)
     assert {(r["doc"], r["cut"]) for r in cuts.collect()} == {(r["doc"], r["text"][5:27]) for r in texts.filter("doc % 100 = 7").collect()}
-    lost = places.selectExpr("doc", "rid + 1 as rid", "s", "piece", "anchor", "hi", "lo", "n")
+    lost = places.selectExpr("doc", "rid + 1 as rid", "s", "w", "anchor")
     assert S._cut(texts, lost, 20).filter("cut is null").count() == 3
-    past = places.selectExpr("doc", "rid", "90 as s", "piece", "anchor", "hi", "lo", "n")
+    past = places.selectExpr("doc", "rid", "90 as s", "w", "anchor")
     assert S._cut(texts, past, 20).filter("cut is null").count() == 3
