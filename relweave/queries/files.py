@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+import os
+import shutil
 import uuid
+import zipfile
 from collections import Counter
 from xml.etree import ElementTree
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from relweave.plans.compiler import Options, compile_request, execute
 from relweave.plans.describe import selector_schema
 from relweave.plans.materialize import scratch
 from relweave.plans.partitioning import spread
+from relweave.plans.scope import quoted
 from relweave.plans.shape import serialize
 from relweave.queries import relational, runs
 from relweave.queries.schemas import SHOP, SUPPLY, catalog
@@ -107,11 +112,50 @@ def source_tables(spark: SparkSession, sf: str) -> DataFrame:
     return execute(c, _NATION_REQUEST)
 
 
+def derby(spark: SparkSession, tables: dict[str, DataFrame]) -> str:
+    """The URL of a read-only Derby database that holds the tables, in an archive below the shared folder.
+
+    One in memory is only there in the JVM that made it, and one in a folder is locked by the JVM that opened it first; from an archive, the driver and all executors
+    read at once. The rows are written as text by all tasks, and imported from there, file by file, by the driver. The archive isn't compressed, so a page is found without reading those before it.
+    Columns may be text, numbers (Derby refuses NaN), truth values and dates.
+    """
+    folder = scratch(spark, "derby")
+    if not folder.startswith(("file:/", "/")):
+        raise RuntimeError("Derby can't read from a shared folder that isn't mounted")
+    folder = "/" + folder.removeprefix("file:").lstrip("/")
+    os.makedirs(folder)
+    url = f"jdbc:derby:{folder}/db"
+    connect = spark._jvm.java.sql.DriverManager.getConnection
+    for name, df in tables.items():
+        fields = [F.concat(F.lit('"'), F.replace(F.col(quoted(c)).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')) for c in df.columns]
+        df.select(F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields])).write.text(f"file://{folder}/{name}")  # a null is an empty field without quotes
+        df.limit(0).write.jdbc(f"{url};create=true", name)  # the driver makes the table; without rows there is no task
+        to = connect(url)
+        for f in sorted(os.listdir(f"{folder}/{name}")):
+            if f.startswith("part-") and os.path.getsize(f"{folder}/{name}/{f}"):
+                call = to.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+                call.setString(1, name.upper())
+                call.setString(2, f"{folder}/{name}/{f}")
+                call.execute()
+        to.close()
+        shutil.rmtree(f"{folder}/{name}")
+    try:
+        connect(f"{url};shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # which says that it is closed
+            raise
+    with zipfile.ZipFile(f"{folder}/db.jar", "w", zipfile.ZIP_STORED) as z:
+        for at, _, names in os.walk(f"{folder}/db"):
+            for n in names:
+                z.write(f"{at}/{n}", os.path.relpath(f"{at}/{n}", folder))
+    shutil.rmtree(f"{folder}/db")
+    return f"jdbc:derby:jar:({folder}/db.jar)db"
+
+
 @query('select o_orderkey, c_name as "customer__c_name" from orders left join customer on o_custkey = c_custkey where o_totalprice > 400000')
 def source_jdbc(spark: SparkSession, sf: str) -> DataFrame:
     """Customers in a database, read over several connections; the orders' distinct keys are sent along where they are few."""
-    options = {"url": f"jdbc:derby:memory:relweave{uuid.uuid4().hex};create=true"}
-    _read(spark, sf, "customer").repartition(1).write.format("jdbc").options(**options).option("dbtable", "customer").save()
+    options = {"url": derby(spark, {"customer": _read(spark, sf, "customer")})}
     remote = Catalog.from_schema(spark, _only("customer", customer="customer"), "jdbc", options=options, partitions=4)
     local = Catalog.from_schema(spark, Schema.parse({**SUPPLY, "name": "files", "entities": [e for e in SUPPLY["entities"] if e["name"] == "orders"], "relations": [r for r in SUPPLY["relations"] if r["name"] == "orders_customer"]}), "parquet", data_dir=sf)
     request = {"op": "query", "root_entity": "orders", "relations": ["orders_customer"], "limit": None, "filters": relational.where("o_totalprice", ">", 400000), "select": [{"expr": "o_orderkey"}, {"expr": "customer.c_name"}]}

@@ -71,6 +71,35 @@ def test_keys_are_sent_along_only_where_nothing_is_lost(spark):
     assert c.table("names").rdd.getNumPartitions() == 3 and c.table("names").count() == 40
 
 
+def test_database_is_read_by_executors_of_their_own(spark, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import pyspark
+
+    names = ['a"b', "", None, " lead, trail ", "new\nline\r\nand\rmore", "маркетинг 🙂 \\ ' \t", "x" * 40_000, "NULL", ',"",']
+    (tmp_path / "home/work").mkdir(parents=True)  # the executors' logs go to work in Spark's home
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    spark.createDataFrame([(i, n, 1, -1.5, "s") for i, n in enumerate(names)] + [(None, "no key", 1, None, None)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/in/customer.parquet")
+    spark.createDataFrame([(i, k, "F", 500000.0, None, "") for i, k in enumerate([*range(len(names)), 99, None])] + [(77, 1, "F", 400000.0, None, "")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/in/orders.parquet")
+    code = f"""
+from pyspark.sql import SparkSession
+from relweave.queries.files import QUERIES
+conf = {{"spark.master": "local-cluster[2,1,1024]", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.local.dir": "{tmp_path}/local", "spark.checkpoint.dir": "file://{tmp_path}/shared"}}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+QUERIES["source_jdbc"](spark, "{tmp_path}/in").write.parquet("{tmp_path}/out")
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "_PYSPARK"))} | {"PYTHONPATH": root, "SPARK_HOME": f"{tmp_path}/home", "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYSPARK_PYTHON": sys.executable}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    got = {r["o_orderkey"]: r["customer__c_name"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == dict(enumerate([*names, None, None]))
+
+
 def test_bound_of_similarity(spark):
     from difflib import SequenceMatcher
 
